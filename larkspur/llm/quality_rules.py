@@ -151,8 +151,9 @@ def quality_rules(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     id_col: str = "doc_id",
+    carry: bool = False,
 ) -> DataFrame:
-    """Counts and verdict of every row of docs (id, lang, text): SCHEMA.
+    """Counts and verdict of every row of docs (id, lang, text): SCHEMA; with `carry`, docs and `kept` instead.
 
     base_failed: fewer than `min_words` words, or more than `max_repeat_percent`
     of the words in 3-word windows that the text holds twice or more.  Else a
@@ -184,4 +185,22 @@ def quality_rules(
                 ["doc_id", *n, "base_failed", "kept", "char_distance", "word_distance"],
             )
 
-    return plain.mapInArrow(run, SCHEMA)
+    if not carry:
+        return plain.mapInArrow(run, SCHEMA)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            kept = next(run(iter([batch.select(["doc_id", "lang", "text"])]))).column("kept")
+            row = batch.column("row")
+            yield pa.RecordBatch.from_arrays([row, kept], ["row", "kept"])
+
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), "lang", "text")
+
+    def judge_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(iter([batch])):
+                for row in judge(iter([part])):
+                    yield pa.RecordBatch.from_arrays([*row.columns, part.column("text").cast(pa.string())], ["row", "kept", "text"])
+
+    out = whole.mapInArrow(judge_text, f"row {whole.schema['row'].dataType.simpleString()}, kept boolean, text string")
+    return out.select(*[(F.col("text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns if c != "kept"], "kept")
