@@ -39,6 +39,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_search import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import dedup_substrings
 
@@ -66,14 +72,22 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), model_bytes(), keep_ids=False)
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .weak_labels import classify
+
+    return classify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_nearest_vectors": op4_nearest_vectors,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_personal_data": op6_personal_data,
     "op8_line_dedup": op8_line_dedup,
     "op9_sentencepiece": op9_sentencepiece,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
