@@ -59,6 +59,12 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_blocks import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_nearest_vectors": op4_nearest_vectors,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_personal_data": op6_personal_data,
+    "op7_main_text": op7_main_text,
     "op8_line_dedup": op8_line_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_quality_classifier": op10_quality_classifier,
