@@ -49,9 +49,9 @@ MATH = {
     "TRUNC": ("(sign({0}) * floor(abs({0})))", "(sign({0}) * floor(abs({0}) * pow(10, {1})) / pow(10, {1}))"), "TRUNCATE": "(sign({0}) * floor(abs({0}) * pow(10, {1})) / pow(10, {1}))",
     "SAFE_ADD": "try_add({0}, {1})", "SAFE_SUBTRACT": "try_subtract({0}, {1})", "SAFE_MULTIPLY": "try_multiply({0}, {1})", "SAFE_DIVIDE": "try_divide({0}, {1})", "SAFE_NEGATE": "try_subtract(0L, {0})",
     "RANGE_BUCKET": "if({0} IS NULL OR {1} IS NULL, NULL, bigint(size(filter({1}, __b -> __b <= {0}))))", "DEGREES": "degrees({0})", "RADIANS": "radians({0})",
-    "COSINE_DISTANCE": "(1D - aggregate(zip_with({0}, {1}, (__x, __y) -> double(__x * __y)), 0D, (__s, __v) -> __s + __v) / (sqrt(aggregate({0}, 0D, (__s, __v) -> __s + double(__v * __v))) * sqrt(aggregate({1}, 0D, (__s, __v) -> __s + double(__v * __v)))))",
-    "EUCLIDEAN_DISTANCE": "sqrt(aggregate(zip_with({0}, {1}, (__x, __y) -> pow(__x - __y, 2)), 0D, (__s, __v) -> __s + __v))", "DOT_PRODUCT": "aggregate(zip_with({0}, {1}, (__x, __y) -> double(__x * __y)), 0D, (__s, __v) -> __s + __v)",
-    "MANHATTAN_DISTANCE": "aggregate(zip_with({0}, {1}, (__x, __y) -> abs(double(__x - __y))), 0D, (__s, __v) -> __s + __v)", "L1_NORM": "aggregate({0}, 0D, (__s, __v) -> __s + abs(double(__v)))", "L2_NORM": "sqrt(aggregate({0}, 0D, (__s, __v) -> __s + double(__v * __v)))",
+    "COSINE_DISTANCE": "(1D - aggregate(zip_with({0}, {1}, (__x, __y) -> double(__x) * double(__y)), 0D, (__s, __v) -> __s + __v) / (sqrt(aggregate({0}, 0D, (__s, __v) -> __s + double(__v) * double(__v))) * sqrt(aggregate({1}, 0D, (__s, __v) -> __s + double(__v) * double(__v)))))",
+    "EUCLIDEAN_DISTANCE": "sqrt(aggregate(zip_with({0}, {1}, (__x, __y) -> pow(double(__x) - double(__y), 2)), 0D, (__s, __v) -> __s + __v))", "DOT_PRODUCT": "aggregate(zip_with({0}, {1}, (__x, __y) -> double(__x) * double(__y)), 0D, (__s, __v) -> __s + __v)",
+    "MANHATTAN_DISTANCE": "aggregate(zip_with({0}, {1}, (__x, __y) -> abs(double(__x) - double(__y))), 0D, (__s, __v) -> __s + __v)", "L1_NORM": "aggregate({0}, 0D, (__s, __v) -> __s + abs(double(__v)))", "L2_NORM": "sqrt(aggregate({0}, 0D, (__s, __v) -> __s + double(__v) * double(__v)))",
 }
 for _n in ("COSINE_DISTANCE", "EUCLIDEAN_DISTANCE", "DOT_PRODUCT"):
     MATH["APPROX_" + _n] = MATH[_n]
