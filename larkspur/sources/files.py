@@ -16,7 +16,8 @@ def register_writer(scheme: str, writer: Callable[[DataFrame, str, dict], None])
 
 
 def export(df: DataFrame, options: dict) -> None:
-    uri = options["uri"].replace("/*", "/").replace("*", "")
+    head, _, tail = options["uri"].rpartition("/")
+    uri = head if "*" in tail else options["uri"]  # Spark names the files of a folder itself
     kind = str(options.get("format", "CSV")).upper()
     if kind not in FORMATS:
         raise ValueError(f"EXPORT DATA: format {kind} is not supported")
