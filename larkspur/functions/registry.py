@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+from .keysets import TEMPLATES as KEYSETS
+
 I = "int({0})"  # noqa: E741
 
 
@@ -144,7 +146,13 @@ WINDOWS = {
 
 GEOGRAPHY = {f"ST_{n}": f"lk_st_{n.lower()}({{*}})" for n in "GEOGPOINT X Y ASTEXT ASGEOJSON DISTANCE DWITHIN LENGTH PERIMETER AREA NPOINTS NUMPOINTS GEOGFROMTEXT GEOGFROMGEOJSON GEOMETRYTYPE DIMENSION ISEMPTY ISCLOSED ISRING ISCOLLECTION NUMGEOMETRIES STARTPOINT ENDPOINT POINTN MAKELINE MAKEPOLYGON CENTROID CONTAINS COVERS WITHIN COVEREDBY INTERSECTS DISJOINT EQUALS AZIMUTH GEOHASH GEOGPOINTFROMGEOHASH SNAPTOGRID BOUNDINGBOX CONVEXHULL EXTERIORRING DUMPPOINTS MAXDISTANCE LINEINTERPOLATEPOINT LINELOCATEPOINT".split()}
 
-SCALARS = MATH | STRING | ARRAY | HASH | CONDITIONAL | DATES | JSON | NET | RANGES | GEOGRAPHY
+SEARCH = {
+    "TOKENIZE_NUMBER": "array(CAST({0} AS STRING))", "TOKENIZE_BOOL": "array(if({0}, 'y', 'n'))", "DEBUG_TOKENLIST": "array_join({0}, ', ')", "SCORE": "double(size(filter({0}, __t -> array_contains(split(lower({1}), '[^\\\\p{{L}}\\\\p{{N}}]+'), __t))))",
+    "SEARCH_NGRAMS": "arrays_overlap({0}, transform(sequence(1, greatest(length({1}) - 3, 1)), __i -> substring(lower({1}), __i, 4)))", "SCORE_NGRAMS": "(double(size(array_intersect({0}, transform(sequence(1, greatest(length({1}) - 3, 1)), __i -> substring(lower({1}), __i, 4))))) / greatest(length({1}) - 3, 1))",
+}
+SEARCH["SCORE"] = SEARCH["SCORE"].replace("{{", "{").replace("}}", "}")
+
+SCALARS = MATH | STRING | ARRAY | HASH | CONDITIONAL | DATES | JSON | NET | RANGES | GEOGRAPHY | KEYSETS | SEARCH
 
 #: SAFE.f(...) where f can raise.
 SAFE = {

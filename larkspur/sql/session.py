@@ -395,6 +395,13 @@ class Session:
         out.write.parquet(path)
         t.files = [*t.files, path]
 
+    def store(self, df: DataFrame, name: str) -> str:
+        """The path of a snapshot of df in the session's folder."""
+        self.versions += 1
+        path = f"{self.root}/{name}/{self.versions}"
+        df.write.parquet(path)
+        return path
+
     def rewrite(self, t: Table, df: DataFrame) -> None:
         fresh = t.copy()
         fresh.files = []
