@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import time_series
+from ..operators import text, time_series
 from ..sql.session import Session
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -121,12 +121,19 @@ SQL: dict[str, tuple[str, str | None]] = {
     "term_frequency": ("SELECT doc_id, term, COUNT(*) AS n FROM documents, UNNEST(TEXT_ANALYZE(text)) AS term WHERE lang = 'en' GROUP BY doc_id, term", "SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}\\p{Nl}\\p{No}]+')) AS term FROM documents WHERE lang = 'en') GROUP BY 1, 2"),
     "net_host": ("SELECT page_id, NET.HOST(url) AS h FROM pages", "SELECT page_id, nullif(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '') AS h FROM pages"),
     "conversation_turns": ("SELECT conv_id, STRING_AGG(role, '>' ORDER BY turn) AS roles, MAX(turn) AS last FROM conversations GROUP BY conv_id", "SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles, max(turn) AS last FROM conversations GROUP BY conv_id"),
+    "hash_functions": ("SELECT c_custkey, TO_HEX(SHA256(c_name)) AS a, TO_HEX(MD5(c_name)) AS b, TO_BASE64(CAST(c_mktsegment AS BYTES)) AS c, TO_HEX(SHA1(c_name)) AS d FROM customer", "SELECT c_custkey, sha256(c_name) AS a, md5(c_name) AS b, base64(c_mktsegment::BLOB) AS c, sha1(c_name) AS d FROM customer"),
+    "geo_distance": ("SELECT c_custkey, ROUND(ST_DISTANCE(ST_GEOGPOINT(MOD(c_custkey, 180), MOD(c_custkey, 80)), ST_GEOGPOINT(10, 50)), 3) AS d FROM customer", "SELECT c_custkey, round(2 * asin(least(1, sqrt(pow(sin(radians(50 - c_custkey % 80) / 2), 2) + cos(radians(c_custkey % 80)) * cos(radians(50)) * pow(sin(radians(10 - c_custkey % 180) / 2), 2)))) * 6371010.0, 3) AS d FROM customer"),
+    "array_unnest_zip": ("SELECT l_orderkey, l_linenumber, ARRAY_SUM(ARRAY_ZIP([l_orderkey, l_partkey], [1, 2], (x, y) -> x * y)) AS s FROM lineitem", "SELECT l_orderkey, l_linenumber, l_orderkey + 2 * l_partkey AS s FROM lineitem"),
+    "date_arrays": ("SELECT c_custkey, ARRAY_LENGTH(GENERATE_DATE_ARRAY(DATE '2024-01-01', DATE_ADD(DATE '2024-01-01', INTERVAL MOD(c_custkey, 30) DAY), INTERVAL 7 DAY)) AS n FROM customer", "SELECT c_custkey, (c_custkey % 30) // 7 + 1 AS n FROM customer"),
+    "week_parts": ("SELECT o_orderkey, DATE_DIFF(DATE(o_orderdate), DATE '1990-01-01', WEEK) AS w, DATE_DIFF(DATE(o_orderdate), DATE '1990-01-01', ISOWEEK) AS i, DATE_TRUNC(DATE(o_orderdate), ISOWEEK) AS t, EXTRACT(DAYOFYEAR FROM o_orderdate) AS y, EXTRACT(QUARTER FROM o_orderdate) AS q FROM orders", "SELECT o_orderkey, floor(date_diff('day', DATE '1970-01-04', o_orderdate::DATE) / 7)::BIGINT - floor(date_diff('day', DATE '1970-01-04', DATE '1990-01-01') / 7)::BIGINT AS w, date_diff('week', DATE '1990-01-01', o_orderdate::DATE) AS i, date_trunc('week', o_orderdate)::DATE AS t, dayofyear(o_orderdate) AS y, quarter(o_orderdate) AS q FROM orders"),
+    "safe_functions": ("SELECT c_custkey, SAFE_CAST(SUBSTR(c_name, -2) AS INT64) AS a, SAFE_DIVIDE(1, MOD(c_custkey, 3)) AS b, IFERROR(CAST(c_mktsegment AS INT64), -1) AS c, SAFE.SQRT(c_acctbal) IS NULL AS d FROM customer", "SELECT c_custkey, TRY_CAST(right(c_name, 2) AS BIGINT) AS a, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 1.0 / (c_custkey % 3) END AS b, -1 AS c, c_acctbal < 0 AS d FROM customer"),
+    "text_tokens": ("SELECT doc_id, ARRAY_LENGTH(TEXT_ANALYZE(text)) AS n, ARRAY_LENGTH(BAG_OF_WORDS(TEXT_ANALYZE(SUBSTR(text, 1, 300)))) AS d FROM documents", "SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS n, len(list_distinct(regexp_extract_all(lower(substr(text, 1, 300)), '[\\p{L}\\p{N}]+'))) AS d FROM documents"),
     "approx_count_distinct": ("SELECT APPROX_COUNT_DISTINCT(o_orderstatus) AS n FROM orders", "SELECT count(DISTINCT o_orderstatus) AS n FROM orders"),
 }
 
 
-def _runner(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: session(spark, sf_dir).sql(text)
+def _runner(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: session(spark, sf_dir).sql(sql)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _runner(v[0]) for k, v in SQL.items()}
@@ -160,6 +167,11 @@ def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return time_series.range_join(parts, bands, point="p_size", start="lo", end="hi", width=10.0).groupBy("band").agg(F.count("*").alias("n"))
 
 
+def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = text.tf_idf(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="item_id", text_col="text")
+    return found.withColumn("tf_idf", F.round("tf_idf", 8))
+
+
 def merge_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Session(spark)
     s.register_table("orders", spark.read.parquet(f"{sf_dir}/orders.parquet"))
@@ -189,8 +201,11 @@ def property_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.sql("SELECT land, COUNT(*) AS n FROM GRAPH_TABLE(trade MATCH (l:Land)<-[:lives]-(b:Buyer)-[:placed]->(o:Purchase) WHERE o.o_totalprice > 100000 RETURN l.n_name AS land) GROUP BY land")
 
 
-QUERIES |= {"gap_fill": gap_fill, "range_sessionize": range_sessions, "as_of_join": as_of_join, "range_join": range_join, "merge": merge_orders, "property_graph": property_graph}
+QUERIES |= {"tf_idf": tf_idf, "gap_fill": gap_fill, "range_sessionize": range_sessions, "as_of_join": as_of_join, "range_join": range_join, "merge": merge_orders, "property_graph": property_graph}
 ORACLE_SQL |= {
+    "tf_idf": """WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark), c AS (SELECT item_id, term, count(*) AS c FROM w GROUP BY 1, 2),
+n AS (SELECT item_id, count(*) AS n FROM w GROUP BY 1), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1)
+SELECT c.item_id, c.term, round(c / n * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1), 8) AS tf_idf FROM c JOIN n ON c.item_id = n.item_id JOIN d ON c.term = d.term""",
     "gap_fill": """WITH daily AS (SELECT event_type, date_trunc('day', ts) AS d, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) % 3 <> 0),
 bounds AS (SELECT event_type, min(d) AS lo, max(d) AS hi FROM daily GROUP BY 1), grid AS (SELECT event_type, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS d FROM bounds)
 SELECT g.d::TIMESTAMP AS d, g.event_type, last_value(daily.n IGNORE NULLS) OVER (PARTITION BY g.event_type ORDER BY g.d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM grid g LEFT JOIN daily ON daily.event_type = g.event_type AND daily.d = g.d""",
