@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,18 +52,15 @@ def _inside(offsets: np.ndarray, length: int, n: int) -> np.ndarray:
 
 
 def _sliding_min(h: np.ndarray, width: int) -> np.ndarray:
-    """Positions of the smallest of h[p:p+width] for each p (any fixed rule for ties)."""
+    """The smallest of h[p:p+width] for each p."""
     if len(h) < width:
-        return np.zeros(0, np.int64)
-    key, pos, have = h.copy(), np.arange(len(h)), 1
+        return np.zeros(0, np.uint64)
+    low, have = h, 1
     while have < width:
         step = min(have, width - have)
-        n = len(key) - step
-        right = key[step:] < key[:n]
-        pos = np.where(right, pos[step:], pos[:n])
-        key = np.where(right, key[step:], key[:n])
+        low = np.minimum(low[: len(low) - step], low[step:])
         have += step
-    return pos
+    return low
 
 
 def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -78,8 +75,8 @@ class _Slice:
     """Word windows of a slice of documents."""
 
     def __init__(self, texts: pa.Array, window: int, base: int):
-        words, self.offsets = split_words(texts)
-        self.w = word_hashes(words)
+        self.words, self.offsets = split_words(texts)
+        self.w = word_hashes(self.words)
         self.window, self.base = window, base
         self.sizes = np.diff(self.offsets)
         self.levels = [base]
@@ -111,13 +108,16 @@ class _Slice:
         """Starts of windows that hold, at each level counted so far, a repeated window."""
         live = self.ok.copy()
         for bits, length, h in zip(filters, self.levels, self.h):
-            pick = _sliding_min(h, self.window - length + 1)[: len(live)]
-            live &= _passes(bits, h[pick])
+            at = np.flatnonzero(live)
+            live[at] = _passes(bits, _sliding_min(h, self.window - length + 1)[at])
         return np.flatnonzero(live)
 
-    def anchors(self, level: int, live: np.ndarray) -> np.ndarray:
-        """Windows of a level that represent the live ones: the smallest hash in each, so equal windows pick alike."""
-        return np.unique(_sliding_min(self.h[level], self.window - self.levels[level] + 1)[live])
+    def anchors(self, level: int, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, document) of a level's windows that represent the live ones: the smallest hash in each, so equal windows are represented alike."""
+        h, own = _sliding_min(self.h[level], self.window - self.levels[level] + 1)[live], self.owner(live)
+        new = np.ones(len(live), bool)
+        new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+        return h[new], own[new]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -129,11 +129,9 @@ def _level_rows(level: int, filters, window: int, base: int):
         bits = [f.value for f in filters]
         for batch in text_slices(batches):
             s = _Slice(batch.column("text"), window, base)
-            at = s.anchors(level, s.alive(bits))
-            if not len(at):
-                continue
-            c = s.content()[0][s.owner(at)]
-            yield pa.RecordBatch.from_arrays([_signed(s.h[level][at]), _signed(c)], ["h", "c"])
+            h, own = s.anchors(level, s.alive(bits))
+            if len(h):
+                yield pa.RecordBatch.from_arrays([_signed(h), _signed(s.content()[0][own])], ["h", "c"])
 
     return run
 
@@ -216,20 +214,23 @@ def repeated_windows(docs: DataFrame, *, window: int = 20, base: int = 5, filter
     return rows.join(firsts, ["h", "g"]).filter(F.col("id") > F.col("first")).select("id", "pos")
 
 
-def _strip(window: int):
+def _strip(window: int, base: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            texts = batch.column("text")
-            s = _Slice(texts, window, 1)
-            words, _ = split_words(texts)
+            s = _Slice(batch.column("text"), window, base)
             flags = np.zeros(len(s.w) + 1, np.int64)
-            own = s.owner(np.flatnonzero(s.ok))
-            at = np.flatnonzero(s.ok)
-            order = np.lexsort((at, s.full[at], own))  # repeats inside one document
-            again = np.zeros(len(at), bool)
-            again[1:] = (own[order][1:] == own[order][:-1]) & (s.full[at][order][1:] == s.full[at][order][:-1])
-            np.add.at(flags, at[order][again], 1)
-            np.add.at(flags, at[order][again] + window, -1)
+            at = np.flatnonzero(s.ok)  # repeats inside one document
+            own = s.owner(at)
+            key = s.full[at] ^ _twist(own.astype(np.uint64) * MIX)
+            low = np.sort(key)
+            twice = np.unique(low[1:][low[1:] == low[:-1]])
+            if len(twice):
+                some = twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key
+                at, key = at[some], key[some]
+                order = np.lexsort((at, key))
+                again = at[order][1:][key[order][1:] == key[order][:-1]]
+                np.add.at(flags, again, 1)
+                np.add.at(flags, again + window, -1)
             for i, (copy, pos) in enumerate(zip(batch.column("copy").to_pylist(), batch.column("pos").to_pylist())):
                 a, b = s.offsets[i], s.offsets[i + 1]
                 if copy and b - a >= window:
@@ -240,11 +241,10 @@ def _strip(window: int):
                     np.add.at(flags, p, 1)
                     np.add.at(flags, p + window, -1)
             gone = np.cumsum(flags[:-1]) > 0
-            keep = words.filter(pa.array(~gone))
             ends = np.concatenate(([0], np.cumsum(~gone)))[s.offsets]
-            kept = [" ".join(keep.slice(a, b - a).to_pylist()) for a, b in zip(ends, ends[1:])]
+            kept = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), s.words.filter(pa.array(~gone))), pa.scalar(" ", pa.large_string()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(s.sizes), pa.array(s.sizes - np.diff(ends)), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"]
+                [batch.column("id"), pa.array(s.sizes), pa.array(s.sizes - np.diff(ends)), kept.cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"]
             )
 
     return run
@@ -268,5 +268,5 @@ def dedup_substrings(docs: DataFrame, *, window: int = 20, base: int = 5, id_col
     copies = own.filter(F.col("n") >= window).join(heads, ["c", "c2"]).filter("id > head").select("id", F.lit(True).alias("copy"), F.lit(None).cast("int").alias("pos"))
     marks = repeated_windows(plain, window=window, base=base, filter_bits=filter_bits).select("id", F.lit(False).alias("copy"), "pos").unionByName(copies)
     marks = marks.groupBy("id").agg(F.max("copy").alias("copy"), F.collect_list("pos").alias("pos"))
-    out = plain.join(marks, "id", "left").select("id", "text", "copy", "pos").mapInArrow(_strip(window), "doc_id long, n_words long, n_removed long, kept string")
+    out = plain.join(marks, "id", "left").select("id", "text", "copy", "pos").mapInArrow(_strip(window, base), "doc_id long, n_words long, n_removed long, kept string")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(last)))
