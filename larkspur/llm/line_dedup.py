@@ -36,22 +36,45 @@ class LineRuns:
     A batch is merge-anti-joined with the keys that the runs already know to be
     frequent and the rest is added as a run of level 0.  `fanout` runs of a
     level are merged into one of the next, adding up n.  Runs are tables in the
-    shared checkpoint folder: a lost executor, or a driver that starts again
-    with the same root, loses no run.
+    shared checkpoint folder, so a lost executor loses none; each is named by
+    the batches that it covers.  A driver that starts again with the same root
+    goes on after the last batch that was written whole: of runs that cover the
+    same batches, the widest counts.
     """
 
     def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 3, root: str | None = None):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.root = root or shared_dir(spark, "line-runs")
         self.levels: list[list[str]] = [[]]
-        self.made = 0
-
-    def _write(self, run: DataFrame, level: int) -> None:
+        self.batches = 0
+        if root is not None:
+            self._resume()
+
+    def _resume(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        whole = [f"{self.root}/{x.getPath().getParent().getParent().getName()}/{x.getPath().getParent().getName()}" for x in fs.globStatus(path(f"{self.root}/level*/run*/_SUCCESS")) or []]
+        kept: list[tuple[int, int]] = []
+        for p in sorted(whole, key=lambda p: self._span(p)[0] - self._span(p)[1]):
+            low, high = self._span(p)
+            if not any(a <= low and high <= b for a, b in kept):
+                kept.append((low, high))
+                level = int(p.split("/")[-2].removeprefix("level"))
+                while len(self.levels) <= level:
+                    self.levels.append([])
+                self.levels[level].append(p)
+                self.batches = max(self.batches, high + 1)
+
+    @staticmethod
+    def _span(path: str) -> tuple[int, int]:
+        low, _, high = path.rsplit("/run", 1)[1].partition("-")
+        return int(low), int(high)
+
+    def _write(self, run: DataFrame, level: int, low: int, high: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        path = f"{self.root}/level{level}/run{self.made}"
-        self.made += 1
-        run.sortWithinPartitions("h1", "h2").write.parquet(path)
+        path = f"{self.root}/level{level}/run{low}-{high}"
+        run.sortWithinPartitions("h1", "h2").write.mode("overwrite").parquet(path)
         self.levels[level].append(path)
 
     def _merged(self, paths: list[str]) -> DataFrame:
@@ -63,11 +86,13 @@ class LineRuns:
         for path in (p for level in self.levels for p in level):
             known = self.spark.read.parquet(path).filter(F.col("n") >= self.min_docs).select("h1", "h2")
             own = own.join(known, ["h1", "h2"], "left_anti")
-        self._write(own, 0)
+        self._write(own, 0, self.batches, self.batches)
+        self.batches += 1
         level = 0
         while len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            self._write(self._merged(old), level + 1)
+            spans = [self._span(p) for p in old]
+            self._write(self._merged(old), level + 1, min(a for a, _ in spans), max(b for _, b in spans))
             for path in old:
                 remove_dir(self.spark, path)
             level += 1

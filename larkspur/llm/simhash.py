@@ -92,6 +92,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, distance: int = 3, seg
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """Rows of docs, one of each near-duplicate class: that of the smallest id (rows that repeat it stay one)."""
+    """Rows of docs, one of each near-duplicate class: that of the smallest id.
+
+    Of rows that repeat an id one stays; rows without an id cannot be named and are left out.
+    """
     chosen = near_duplicates(docs, id_col=id_col, **how).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
     return docs.dropDuplicates([id_col]).join(chosen, F.col(id_col) == F.col("__id")).drop("__id")
