@@ -224,8 +224,8 @@ def nearest(
 
     asked = queries.mapInArrow(ask, "leaf int, part int, id long, key binary").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(per_leaf)))
     asked = asked.groupBy("leaf", "part", "chunk").agg(F.collect_list(F.struct("id", "key")).alias("queries"))
-    n_parts = F.create_map(*[x for leaf, n in counts.items() for x in (F.lit(leaf), F.lit(-(-n // BLOCK)))])
-    blocks = indexed.withColumn("part", F.pmod(F.xxhash64("key"), n_parts[F.col("leaf")]).cast("int")).groupBy("leaf", "part").agg(F.collect_list(F.struct("key", "ids")).alias("points"))
+    n_parts = F.broadcast(spark.createDataFrame([(leaf, -(-n // BLOCK)) for leaf, n in counts.items()], "leaf int, n_parts int"))  # as many as leaves
+    blocks = indexed.join(n_parts, "leaf").withColumn("part", F.pmod(F.xxhash64("key"), F.col("n_parts")).cast("int")).groupBy("leaf", "part").agg(F.collect_list(F.struct("key", "ids")).alias("points"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
