@@ -144,7 +144,15 @@ WINDOWS = {
     "ROW_NUMBER": "row_number()", "RANK": "rank()", "DENSE_RANK": "dense_rank()", "PERCENT_RANK": "percent_rank()", "CUME_DIST": "cume_dist()", "NTILE": "ntile(int({0}))", "LAG": ("lag({0})", "lag({0}, int({1}))", "lag({0}, int({1}), {2})"), "LEAD": ("lead({0})", "lead({0}, int({1}))", "lead({0}, int({1}), {2})"), "FIRST_VALUE": "first_value({0})", "LAST_VALUE": "last_value({0})", "NTH_VALUE": "nth_value({0}, int({1}))",
 }
 
-GEOGRAPHY = {f"ST_{n}": f"lk_st_{n.lower()}({{*}})" for n in "GEOGPOINT X Y ASTEXT ASGEOJSON DISTANCE DWITHIN LENGTH PERIMETER AREA NPOINTS NUMPOINTS GEOGFROMTEXT GEOGFROMGEOJSON GEOMETRYTYPE DIMENSION ISEMPTY ISCLOSED ISRING ISCOLLECTION NUMGEOMETRIES STARTPOINT ENDPOINT POINTN MAKELINE MAKEPOLYGON CENTROID CONTAINS COVERS WITHIN COVEREDBY INTERSECTS DISJOINT EQUALS AZIMUTH GEOHASH GEOGPOINTFROMGEOHASH SNAPTOGRID BOUNDINGBOX CONVEXHULL EXTERIORRING DUMPPOINTS MAXDISTANCE LINEINTERPOLATEPOINT LINELOCATEPOINT".split()}
+GEOGRAPHY = {f"ST_{n}": f"lk_st_{n.lower()}({{*}})" for n in "GEOGPOINT X Y ASTEXT ASGEOJSON DISTANCE DWITHIN LENGTH PERIMETER AREA NPOINTS NUMPOINTS GEOGFROMTEXT GEOGFROMGEOJSON GEOMETRYTYPE DIMENSION ISEMPTY ISCLOSED ISRING ISCOLLECTION NUMGEOMETRIES STARTPOINT ENDPOINT POINTN MAKELINE MAKEPOLYGON CENTROID CONTAINS COVERS WITHIN COVEREDBY INTERSECTS DISJOINT EQUALS AZIMUTH GEOHASH GEOGPOINTFROMGEOHASH SNAPTOGRID BOUNDINGBOX CONVEXHULL EXTERIORRING DUMPPOINTS MAXDISTANCE LINEINTERPOLATEPOINT LINELOCATEPOINT ASBINARY GEOGFROMWKB ASKML GEOGFROMKML GEOGFROM SIMPLIFY HAUSDORFFDISTANCE HAUSDORFFDWITHIN CLOSESTPOINT BUFFER BUFFERWITHTOLERANCE LINESUBSTRING TOUCHES BOUNDARY ANGLE INTERSECTSBOX ENVELOPE MAKEPOLYGONORIENTED INTERIORRINGS DUMP GEOMETRYN".split()}
+GEOGRAPHY["S2_CELLIDFROMPOINT"] = ("lk_st_s2cell({0})", "lk_st_s2cell({0}, {1})")
+#: Aggregates over points: centroid and extent.
+GEOGRAPHY["ST_CENTROID_AGG"] = "lk_st_geogpoint(avg(lk_st_x(lk_st_centroid({0}))), avg(lk_st_y(lk_st_centroid({0}))))"
+GEOGRAPHY["ST_EXTENT"] = "named_struct('xmin', min(lk_st_boundingbox({0}).xmin), 'ymin', min(lk_st_boundingbox({0}).ymin), 'xmax', max(lk_st_boundingbox({0}).xmax), 'ymax', max(lk_st_boundingbox({0}).ymax))"
+STUBS = {
+    "AI.CLASSIFY": ("element_at({1}, 1)", "element_at({1}, 1)"), "AI.SCORE": "0D", "OBJ.FETCH_METADATA": "{0}", "OBJ.GET_READ_URL": "concat('https://storage.invalid/', ({0}).uri)", "OBJ.GET_ACCESS_URL": ("parse_json(to_json(named_struct('objectref', {0}, 'access_urls', named_struct('read_url', concat('https://storage.invalid/', ({0}).uri)))))", "if({1} IS NULL, NULL, parse_json(to_json(named_struct('objectref', {0}, 'access_urls', named_struct('read_url', concat('https://storage.invalid/', ({0}).uri))))))"),
+    "SNIPPET": "to_json(named_struct('snippets', array(named_struct('snippet', {0}))))",
+}
 
 SEARCH = {
     "TOKENIZE_NUMBER": "array(CAST({0} AS STRING))", "TOKENIZE_BOOL": "array(if({0}, 'y', 'n'))", "DEBUG_TOKENLIST": "array_join({0}, ', ')", "SCORE": "double(size(filter({0}, __t -> array_contains(split(lower({1}), '[^\\\\p{{L}}\\\\p{{N}}]+'), __t))))",
@@ -152,7 +160,7 @@ SEARCH = {
 }
 SEARCH["SCORE"] = SEARCH["SCORE"].replace("{{", "{").replace("}}", "}")
 
-SCALARS = MATH | STRING | ARRAY | HASH | CONDITIONAL | DATES | JSON | NET | RANGES | GEOGRAPHY | KEYSETS | SEARCH
+SCALARS = MATH | STRING | ARRAY | HASH | CONDITIONAL | DATES | JSON | NET | RANGES | GEOGRAPHY | KEYSETS | SEARCH | STUBS
 
 #: SAFE.f(...) where f can raise.
 SAFE = {
