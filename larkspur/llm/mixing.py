@@ -12,6 +12,7 @@ from .common import cut
 WORD = r"[^\x20\x09-\x0D]+"
 POINTS = 15  # exponents tried in one job: each job narrows the interval to a sixteenth
 ROUNDS = 6
+SMALL = 10_000  # plans of as many sources at most (some 100 bytes each) are broadcast; beyond it Spark joins by shuffle
 
 
 def unit_hash(seed: int, epoch: Column, key: Column) -> Column:
@@ -95,6 +96,7 @@ def mix(
     if not all_tokens:
         return docs.select(*names, F.lit(0).cast("long").alias("mix_tokens"), F.lit(0).alias("mix_epoch"), F.lit(0).cast("long").alias("mix_block")).filter(F.lit(False))
     shares = cut(totals.withColumn("p", F.col("t") / F.lit(float(all_tokens))))
+    sized = F.broadcast if shares.count() <= SMALL else lambda df: df
     a = exponent(shares, entropy_ratio=entropy_ratio, max_repeats=max_repeats, budget_ratio=budget_ratio)
     scale = shares.agg(F.sum(F.pow("p", F.lit(a)))).first()[0]
     budget = F.floor(F.pow("p", F.lit(a)) / F.lit(scale) * F.lit(budget_ratio * all_tokens)).cast("long")
@@ -106,20 +108,20 @@ def mix(
         .select("__source", "t", "budget", "full", "rest", "pieces")
     )
     known = F.col("d.__source").eqNullSafe(F.col("s.__source"))
-    tail = light.alias("d").join(plan.alias("s"), known).select("s.__source", "rest", "pieces", "__n", unit_hash(seed, F.col("full"), F.col("__id")).alias("u"))
+    tail = light.alias("d").join(sized(plan).alias("s"), known).select("s.__source", "rest", "pieces", "__n", unit_hash(seed, F.col("full"), F.col("__id")).alias("u"))
     tail = tail.withColumn("piece", F.floor(F.col("u") * F.col("pieces")))
     sums = tail.groupBy("__source", "piece").agg(F.sum("__n").alias("n"), F.first("rest").alias("rest"))
     up_to = Window.partitionBy("__source").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
     ends = cut(sums.withColumn("before", F.sum("n").over(up_to) - F.col("n")).filter("before <= rest and before + n > rest").select("__source", "piece", "before"))
     same = F.col("t.__source").eqNullSafe(F.col("e.__source")) & (F.col("t.piece") == F.col("e.piece"))
-    inside = tail.alias("t").join(ends.alias("e"), same).select("t.__source", "rest", "before", "u", "__n")
+    inside = tail.alias("t").join(sized(ends).alias("e"), same).select("t.__source", "rest", "before", "u", "__n")
     order = Window.partitionBy("__source").orderBy("u").rangeBetween(Window.unboundedPreceding, 0)
     over = inside.withColumn("sum", F.col("before") + F.sum("__n").over(order)).filter("sum > rest").groupBy("__source").agg(F.min("u").alias("stop"))
     stop = F.coalesce("stop", F.when(F.col("rest") > 0, 1.0).otherwise(0.0)).alias("__stop")
     cuts = plan.alias("s").join(over.alias("o"), F.col("s.__source").eqNullSafe(F.col("o.__source")), "left")
     last = cut(cuts.select(F.col("s.__source").alias("__source"), F.col("t").alias("__t"), F.col("budget").alias("__budget"), F.col("full").alias("__full"), stop))
     n_blocks = max(1, math.ceil(budget_ratio * all_tokens / block_tokens))
-    used = docs.join(last, F.col(source_col).eqNullSafe(F.col("__source")))
+    used = docs.join(sized(last), F.col(source_col).eqNullSafe(F.col("__source")))
     epochs = F.sequence(F.lit(0).cast("long"), F.col("__full"))
     used = used.select(*names, "__full", "__stop", "__t", "__budget", F.explode(epochs).alias("__epoch"))
     used = used.withColumn("__u", unit_hash(seed, F.col("__epoch"), F.col(id_col)))
