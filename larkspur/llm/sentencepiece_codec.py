@@ -18,6 +18,8 @@ MARK = "▁"
 #: Fixed values of the model protobuf: piece types and model types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+CHUNK = 4096  # distinct words that are encoded at once
+SLICE = 1 << 20  # bytes of text that a task encodes at once
 #: Texts that every rebuilt model must encode as the original does.
 PROBES = ("", " ", "a", "Hello world", "  two  spaces   here ", "line\nbreak\t tab", "naïve café – 東京 🙂", "<s> </s> <unk> <0x0A>", "1234567890 $%&", "x" * 300)
 
@@ -139,12 +141,15 @@ class Codec:
         cut = [self.segments(t) for t in plain]
         flat = pa.array([s for x in cut for s in x], pa.large_string()).dictionary_encode()
         distinct, code = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False)] if distinct else []
-        size = np.array([len(x) for x in coded], np.int64)
-        pool = np.fromiter((i for x in coded for i in x), np.int32, int(size.sum()))
+        piece, pools, sizes, oks = self.bytes, [np.zeros(0, np.int32)], [], []
+        for a in range(0, len(distinct), CHUNK):  # the library's results are large: they are reduced to ids chunk by chunk
+            some = distinct[a : a + CHUNK]
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            sizes += map(len, coded)
+            pools.append(np.fromiter((i for x in coded for i in x), np.int32))
+            oks += [b"".join([piece[i] for i in ids]).decode("utf-8", "replace") == s.replace(MARK, " ") for ids, s in zip(coded, some)]
+        size, good, pool = np.array(sizes, np.int64), np.array(oks, bool), np.concatenate(pools)
         first = np.concatenate(([0], np.cumsum(size)))
-        piece = self.bytes
-        good = np.array([b"".join([piece[i] for i in ids]).decode("utf-8", "replace") == s.replace(MARK, " ") for ids, s in zip(coded, distinct)], bool)
         n = size[code]
         ends = np.concatenate(([0], np.cumsum(n)))
         ids = pool[np.repeat(first[code] - ends[:-1], n) + np.arange(ends[-1])] if len(code) else pool
@@ -186,7 +191,7 @@ def encode_documents(docs: DataFrame, model: bytes, *, keep_ids: bool = True, pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, todo = None, parity_rows
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SLICE):
             codec = codec or Codec(sent.value)
             texts = batch.column("text").to_pylist()
             if todo:
