@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once in a Python worker; bounds its memory whatever the batch size.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession, kind: str) -> str:
@@ -64,6 +65,17 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch, texts
+        release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: Spark keeps its Python workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import release_memory, text_slices
 
 MARK = "▁"
 #: Fixed values of the model protobuf: piece types and model types.
@@ -100,6 +101,7 @@ class Codec:
     """
 
     def __init__(self, data: bytes):
+        os.environ.setdefault("RAYON_NUM_THREADS", "2")  # of the library's thread pool in each worker: executors run several
         from tokenizers import Tokenizer, models, normalizers
 
         self.model = m = Model(data)
@@ -203,6 +205,8 @@ def encode_documents(docs: DataFrame, model: bytes, *, keep_ids: bool = True, pa
             if keep_ids:
                 columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "round_trip", "ids"][: len(columns)])
+        codec = texts = ids = columns = None
+        release_memory()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, round_trip boolean" + ", ids array<int>" * keep_ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
