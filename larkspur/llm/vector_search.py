@@ -17,7 +17,7 @@ BRANCHES = 8
 SAMPLE = 32768
 #: Queries with which the number of leaf visits is calibrated, against exact results over all rows.
 CALIBRATION = 128
-BLOCK = 4096  # vectors of a leaf that one row holds
+BLOCK = 4096  # points of neighbouring leaves that a row holds, about
 QUERY_BLOCK = 512
 
 
@@ -123,7 +123,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def nearest(
-    vectors: DataFrame, *, every: int = 20, k: int = 20, target: float = 0.97, sample: int = SAMPLE, calibration: int = CALIBRATION, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, *, every: int = 20, k: int = 20, target: float = 0.95, sample: int = SAMPLE, calibration: int = CALIBRATION, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by `every`, by inner product.
 
@@ -205,44 +205,56 @@ def nearest(
             while visits < tree.leaves and (needed <= visits).mean() < target:
                 visits = min(tree.leaves, visits + max(1, visits // 4))
 
-    counts = {r["leaf"]: r["n"] for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # as many as leaves
-    parts = spark.sparkContext.broadcast({leaf: -(-n // BLOCK) for leaf, n in counts.items()})
-    per_leaf = max(1, -(-(total // every + 1) * visits // (tree.leaves * QUERY_BLOCK)))
+    # neighbouring leaves form groups of about BLOCK points; a larger group is split by hash
+    groups = max(1, min(tree.leaves, total // BLOCK))
+    group_of = lambda leaf: leaf * groups // tree.leaves
+    grouped = indexed.withColumn("group", F.expr(f"int(bigint(leaf) * {groups} div {tree.leaves})"))
+    counts = {r["group"]: -(-r["n"] // (2 * BLOCK)) for r in grouped.groupBy("group").agg(F.count("*").alias("n")).collect()}  # as many as leaves at most
+    parts = spark.sparkContext.broadcast(counts)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a row for each group that queries of a slice visit: these queries once, and which of its leaves each visits
         for batch in batches:
             ids, m = batch.column("id").to_numpy(), _matrix(batch.column("vec"), dim)
-            for a in range(0, len(ids), 1024):
-                own, leaf, part = [], [], []
-                for i, v in enumerate(_padded(m[a : a + 1024])):
-                    for x in sent.value.visits(v, visits):
-                        for p in range(parts.value.get(x, 0)):
-                            own.append(a + i)
-                            leaf.append(x)
-                            part.append(p)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(part, pa.int32()), pa.array(ids[own] if own else [], pa.int64()), pa.array([m[i].tobytes() for i in own], pa.binary())], ["leaf", "part", "id", "key"])
-
-    asked = queries.mapInArrow(ask, "leaf int, part int, id long, key binary").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(per_leaf)))
-    asked = asked.groupBy("leaf", "part", "chunk").agg(F.collect_list(F.struct("id", "key")).alias("queries"))
-    n_parts = F.broadcast(spark.createDataFrame([(leaf, -(-n // BLOCK)) for leaf, n in counts.items()], "leaf int, n_parts int"))  # as many as leaves
-    blocks = indexed.join(n_parts, "leaf").withColumn("part", F.pmod(F.xxhash64("key"), F.col("n_parts")).cast("int")).groupBy("leaf", "part").agg(F.collect_list(F.struct("key", "ids")).alias("points"))
+            for a in range(0, len(ids), QUERY_BLOCK):
+                seen: dict[int, tuple[list, list]] = {}
+                for i, v in enumerate(_padded(m[a : a + QUERY_BLOCK])):
+                    for leaf in sent.value.visits(v, visits):
+                        who, where = seen.setdefault(group_of(leaf), ([], []))
+                        who.append(a + i)
+                        where.append(leaf)
+                rows = []
+                for g, (who, where) in seen.items():
+                    own, at = np.unique(who, return_inverse=True)
+                    rows += [(g, p, ids[own].tolist(), m[own].tobytes(), at.tolist(), where) for p in range(parts.value.get(g, 0))]
+                kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["group", "part", "queries", "vectors", "who", "where"])
+
+    asked = queries.mapInArrow(ask, "group int, part int, queries array<long>, vectors binary, who array<int>, where array<int>")
+    n_parts = F.broadcast(spark.createDataFrame(list(counts.items()), "group int, n_parts int"))  # as many as groups
+    blocks = grouped.join(n_parts, "group").withColumn("part", F.pmod(F.xxhash64("key"), F.col("n_parts")).cast("int")).groupBy("group", "part").agg(F.collect_list(F.struct("leaf", "key", "ids")).alias("points"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for asks, has in zip(batch.column("queries"), batch.column("points")):
-                asks, has = asks.values, has.values
+            for q_names, q_raw, who, where, has in zip(*(batch.column(c) for c in ("queries", "vectors", "who", "where", "points"))):
+                names, has = q_names.values.to_pylist(), has.values
                 m = np.frombuffer(b"".join(has.field("key").to_pylist())).reshape(-1, dim)
-                ids, names = has.field("ids").to_pylist(), asks.field("id").to_pylist()
+                ids, leaf = has.field("ids").to_pylist(), has.field("leaf").to_numpy()
                 low = np.array([x[0] for x in ids])
-                v = np.frombuffer(b"".join(asks.field("key").to_pylist())).reshape(-1, dim)
-                s = v @ m.T
+                s = np.frombuffer(q_raw.as_py()).reshape(-1, dim) @ m.T
+                leaves, at = np.unique(leaf, return_inverse=True)
+                visited = np.zeros((len(names), len(leaves) + 1), bool)
+                where = where.values.to_numpy()
+                pos = np.minimum(np.searchsorted(leaves, where), len(leaves) - 1)
+                visited[who.values.to_numpy(), np.where(leaves[pos] == where, pos, len(leaves))] = True
+                s[~visited[:, at]] = -np.inf
                 out = []
                 for i, best in enumerate(_best(s, k + 1, low)):
-                    mine = sorted((-s[i, j], n) for j in best if j >= 0 for n in ids[j] if n != names[i])[:k]
+                    mine = sorted((-s[i, j], n) for j in best if j >= 0 and s[i, j] > -np.inf for n in ids[j] if n != names[i])[:k]
                     out += [(names[i], n, -d) for d, n in mine]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 3, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
-    met = asked.join(blocks, ["leaf", "part"]).select("queries", "points").mapInArrow(meet, "query_id long, vec_id long, score double")
+    met = asked.join(blocks, ["group", "part"]).select("queries", "vectors", "who", "where", "points").mapInArrow(meet, "query_id long, vec_id long, score double")
     met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
