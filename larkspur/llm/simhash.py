@@ -11,7 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, text_slices
+from .common import components, cut, shared_dir, text_slices
+from .near_copies import classes
 
 SEED = 42
 PIECE = 1 << 15  # shingles whose bits are counted at once
@@ -91,10 +92,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, distance: int = 3, seg
     return own.join(of, F.col("fp") == F.col("fp2")).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
-    """Rows of docs, one of each near-duplicate class: that of the smallest id.
+def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs, one of each class of texts linked at `similarity` of their word shingles or more: that of the smallest id.
 
     Of rows that repeat an id one stays; rows without an id cannot be named and are left out.
     """
-    chosen = near_duplicates(docs, id_col=id_col, **how).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.dropDuplicates([id_col]).join(chosen, F.col(id_col) == F.col("__id")).drop("__id")
+    spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "keep-one")
+    docs.dropDuplicates([id_col]).filter(F.col(id_col).isNotNull()).withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    own = spark.read.parquet(path)
+    found = classes(own.select(F.col("__row").alias("row"), F.col(text_col).alias("text")), shingle=shingle, similarity=similarity)
+    chosen = own.select("__row", id_col).join(found, F.col("__row") == F.col("row")).groupBy("component").agg(F.min_by("__row", id_col).alias("__row"))
+    return own.join(chosen.select("__row"), "__row").select(*docs.columns)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -139,6 +140,41 @@ def test_keep_one_keeps_the_smallest_id(spark):
     assert rows_of(simhash.keep_one(frame(spark, rows)), "doc_id") == [(2,), (9,)]
 
 
+def plain_similar(rows, least):
+    """The smallest id of each row's class, by all pairs' five-word Jaccard similarity."""
+    sets = {}
+    for r in rows:
+        w = [bytes(c + 32 if 65 <= c <= 90 else c for c in x.encode()) for x in words(r[1])]
+        sets[r[0]] = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    of = {d: d for d in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and of[i] != of[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = sorted((of[i], of[j]))
+                of = {d: a if c == b else c for d, c in of.items()}
+    return of
+
+
+def test_keep_one_finds_copies_at_a_similarity_of_four_fifths(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(40):
+        text = [f"w{r.randrange(5000)}" for _ in range(300)]
+        rows.append((i, " ".join(text), "en", "s", 1, 1))
+        for k, n in enumerate((2, 4, 6, 9)):
+            copy = list(text)
+            for at in r.sample(range(10, 290), n):
+                copy[at] = f"new{r.randrange(10**6)}"
+            rows.append((100 + 10 * i + k, " ".join(copy), "en", "s", 1, 1))
+    rows += [(1000 + k, " ".join([*[f"x{j}" for j in range(200)], f"end{k}"]), "en", "s", 1, 1) for k in range(60)]  # a large group
+    of = plain_similar(rows, 0.8)
+    kept = sorted(d for d, c in of.items() if d == c)
+    assert rows_of(simhash.keep_one(frame(spark, rows)), "doc_id") == [(d,) for d in kept]
+    bits = plain_classes({x[0]: plain_fingerprint(x[1], 3) for x in rows}, 3)
+    assert len(kept) < len({c for c in bits.values()}) / 2  # three bits of 64 miss most of them
+    assert simhash.keep_one(frame(spark, [])).count() == 0
+
+
 # quality rules
 
 
