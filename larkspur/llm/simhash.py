@@ -93,13 +93,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, distance: int = 3, seg
 
 
 def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs, one of each class of texts linked at `similarity` of their word shingles or more: that of the smallest id.
+    """Rows of docs, one of each class of texts linked at `similarity` of their word shingles or more.
 
-    Of rows that repeat an id one stays; rows without an id cannot be named and are left out.
+    Each row counts by itself, whether its id is null or repeated.  The row of
+    the smallest id stays, null ids last; of those that share it, any one row.
     """
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "keep-one")
-    docs.dropDuplicates([id_col]).filter(F.col(id_col).isNotNull()).withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
     own = spark.read.parquet(path)
     found = classes(own.select(F.col("__row").alias("row"), F.col(text_col).alias("text")), shingle=shingle, similarity=similarity)
-    chosen = own.select("__row", id_col).join(found, F.col("__row") == F.col("row")).groupBy("component").agg(F.min_by("__row", id_col).alias("__row"))
+    rank = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__row"))
+    chosen = own.select("__row", id_col).join(found, F.col("__row") == F.col("row")).groupBy("component").agg(F.min_by("__row", rank).alias("__row"))
     return own.join(chosen.select("__row"), "__row").select(*docs.columns)

@@ -175,6 +175,14 @@ def test_keep_one_finds_copies_at_a_similarity_of_four_fifths(spark):
     assert simhash.keep_one(frame(spark, [])).count() == 0
 
 
+def test_keep_one_loses_no_row_by_its_id(spark):
+    copy, other = "one two three four five six seven", "a clean text of quite other words"
+    rows = [(None, "no id but its own words here", "en", "s", 1, 1), (None, copy, "en", "s", 1, 1), (3, copy, "en", "s", 1, 1), (3, other, "en", "s", 1, 1)]
+    rows += [(None, "only rows without ids hold this", "en", "s", 1, 1)] * 2 + [(8, other + "  ", "en", "s", 1, 1), (2, copy, "en", "s", 1, 1)]
+    got = sorted(((r["doc_id"] or 0), r["text"]) for r in simhash.keep_one(frame(spark, rows)).collect())
+    assert got == sorted([(0, "no id but its own words here"), (0, "only rows without ids hold this"), (2, copy), (3, other)])
+
+
 # quality rules
 
 
