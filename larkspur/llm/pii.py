@@ -76,40 +76,72 @@ def term_of(word: str) -> str:
     return word.strip(EDGE).lower()
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], words: int, reach: int) -> list[dict]:
-    """Terms among the `words` words before and after each span, within `reach` characters and outside all spans."""
-    out = []
-    for start, kind, end in spans:
-        left = max(0, start - reach)
-        before = [m for m in WORD.finditer(text, left, start) if left == 0 or m.start() > left]
-        stop = min(len(text), end + reach)
-        after = [m for m in WORD.finditer(text, end, stop) if stop == len(text) or m.end() < stop]
-        near = before[-words:] + after[:words]
-        code = xxhash.xxh64_intdigest(" ".join(m[0] for m in near)) >> 1
-        for m in near:
-            a, b = m.start(), m.end()
-            term = term_of(m[0])
-            if len(term) < 2 or any(a < e and s < b for s, _, e in spans):
-                continue
-            out.append({"e": f"{KINDS[kind]}:{text[start:end].lower()}", "t": term, "c": code, "a": a + len(m[0]) - len(m[0].lstrip(EDGE)), "b": a + len(m[0].rstrip(EDGE))})
-    return out
+def free_words(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of each word that overlaps no span, without the marks at its edges."""
+    at, reached = 0, 0
+    for m in WORD.finditer(text):
+        a, b = m.start(), m.end()
+        while at < len(spans) and spans[at][0] < b:
+            reached = max(reached, spans[at][2])
+            at += 1
+        if a >= reached and len(term := term_of(m[0])) >= 2:
+            yield term, a + len(m[0]) - len(m[0].lstrip(EDGE)), a + len(m[0].rstrip(EDGE))
 
 
 SPAN = pa.struct([("start", pa.int32()), ("k", pa.int32()), ("end", pa.int32())])
-NEAR = pa.struct([("e", pa.string()), ("t", pa.string()), ("c", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
-BASE_SCHEMA = "doc_id long, spans array<struct<start int, k int, end int>>, near array<struct<e string, t string, c long, a int, b int>>"
+BASE_SCHEMA = "doc_id long, digest binary, spans array<struct<start int, k int, end int>>, entities array<string>, content long"
 
 
-def _find(words: int, reach: int):
+def _digest(text: str) -> bytes:
+    return xxhash.xxh3_128_digest(text.encode())
+
+
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in text_slices(batches):
+        texts = batch.column("text").to_pylist()
+        spans = [base_spans(t) for t in texts]
+        entities = [sorted({f"{KINDS[k]}:{t[a:b].lower()}" for a, k, b in s}) for t, s in zip(texts, spans)]
+        content = [xxhash.xxh64_intdigest(" ".join(t.lower().split())) >> 1 if s else 0 for t, s in zip(texts, spans)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(map(_digest, texts), pa.binary()), pa.array([[{"start": a, "k": k, "end": b} for a, k, b in s] for s in spans], pa.list_(SPAN)), pa.array(entities, pa.list_(pa.string())), pa.array(content, pa.int64())],
+            ["doc_id", "digest", "spans", "entities", "content"],
+        )
+
+
+def _terms(bits):
+    """(digest, term): distinct terms of each whole text that may hold an entity with evidence; a row's text is known by its digest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             texts = batch.column("text").to_pylist()
-            spans = [base_spans(t) for t in texts]
-            near = [contexts(t, s, words, reach) if s else [] for t, s in zip(texts, spans)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([[{"start": a, "k": k, "end": b} for a, k, b in s] for s in spans], pa.list_(SPAN)), pa.array(near, pa.list_(NEAR))],
-                ["doc_id", "spans", "near"],
-            )
+            digests = [_digest(t) for t in texts]
+            ok = _passes(bits.value, np.fromiter((xxhash.xxh64_intdigest(d, 42) for d in digests), np.uint64, len(digests)))
+            for i in np.flatnonzero(ok).tolist():
+                terms = sorted({t for t, _, _ in free_words(texts[i], base_spans(texts[i]))})
+                yield pa.RecordBatch.from_arrays([pa.array([digests[i]] * len(terms), pa.binary()), pa.array(terms, pa.string())], ["digest", "t"])
+
+    return run
+
+
+def _marks(bits):
+    """(digest, term, start, end): every word that may be a disclosing term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            words, offsets = split_words(batch.column("text"))
+            enc = words.dictionary_encode()
+            terms = [term_of(w) for w in enc.dictionary.to_pylist()]
+            h = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in terms), np.uint64, len(terms))
+            passing = np.asarray(_passes(bits.value, h), bool)
+            known = {t for t, ok in zip(terms, passing.tolist()) if ok}
+            hit = passing[enc.indices.to_numpy(zero_copy_only=False)] if len(terms) else np.zeros(0, bool)
+            own = np.unique(np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[hit])
+            out = []
+            for i in own.tolist():
+                text = batch.column("text")[i].as_py()
+                out += [(_digest(text), *x) for x in free_words(text, base_spans(text)) if x[0] in known]
+            digest, t, a, b = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(t, pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["digest", "t", "a", "b"])
 
     return run
 
@@ -134,39 +166,49 @@ def _frequencies(bits):
     return run
 
 
-def find_personal_data(
-    docs: DataFrame, *, context_words: int = 5, reach: int = 200, threshold: float = 0.75, min_contexts: int = 3, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS
-) -> DataFrame:
+def find_personal_data(docs: DataFrame, *, threshold: float = 0.75, min_contexts: int = 3, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, base array, spans array) of every row: spans as (start, k, end), k indexing KINDS, in order.
 
     Base spans are e-mail, IP, card and phone matches.  A protected entity is
-    the text of such a match.  A term is a word near one, without marks at its
-    edges, lower-cased.  It discloses an entity e where its pointwise mutual
-    information with e over documents, log(N n(t,e) / (n(t) n(e))), is at least
-    `threshold` times e's information content, log(N / n(e)), and the two meet
-    in `min_contexts` different contexts or more, so copies of one passage are
-    no evidence.  Such a term is a further span next to that entity.
+    the text of such a match.  A term is a word of two characters or more that
+    overlaps no match, without marks at its edges, lower-cased.  It discloses an
+    entity e where its pointwise mutual information with e over whole documents,
+    log(N n(t,e) / (n(t) n(e))), is at least `threshold` times e's information
+    content, log(N / n(e)), and documents of `min_contexts` different contents
+    or more hold both, so copies of one document are no evidence.  Every
+    occurrence of such a term, in any document, is a further span.
 
     A null text is empty; rows that repeat an id give a row each; other columns
     are ignored; an empty table gives an empty table.
     """
+    spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = plain.mapInArrow(_find(context_words, reach), BASE_SCHEMA)
-    found = cut(found.withColumn("rid", F.monotonically_increasing_id()))
+    found = cut(plain.mapInArrow(_find, BASE_SCHEMA))
     total = found.count()
-    near = found.filter(F.size("near") > 0).select("rid", F.explode("near").alias("x")).select("rid", "x.*")
-    pairs = near.groupBy("e", "t", "c").agg(F.count_distinct("rid").alias("n")).groupBy("e", "t").agg(F.sum("n").alias("n_te"), F.count("*").alias("contexts"))
-    pairs = cut(pairs.filter(F.col("contexts") >= min_contexts))
+    held = found.filter(F.size("entities") > 0).select("digest", "content", F.explode("entities").alias("e"))
+    # a pair is met in no more contents than its entity
+    entities = held.groupBy("e", "content").agg(F.count("*").alias("n")).groupBy("e").agg(F.sum("n").alias("n_e"), F.count("*").alias("contents"))
+    entities = cut(entities.filter((F.col("contents") >= min_contexts) & (F.col("n_e") < total)))
+    held = cut(held.join(entities.select("e"), "e").distinct())
+    bits = _filter_bits(held.select(F.xxhash64("digest").alias("h")).distinct(), filter_bits)
+    terms = plain.select("text").mapInArrow(_terms(spark.sparkContext.broadcast(bits)), "digest binary, t string")
+    terms = terms if bits.any() else terms.limit(0)
+    pairs = held.join(terms, "digest").groupBy("e", "t", "content").agg(F.count("*").alias("n")).groupBy("e", "t").agg(F.sum("n").alias("n_te"), F.count("*").alias("contents"))
+    # these documents alone bound n(t) from below, which rules out pairs of common words before all texts are counted
+    least = terms.groupBy("t").agg(F.count("*").alias("n_t"))
+    tells = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) >= threshold * F.log(F.lit(float(total)) / F.col("n_e"))
+    pairs = cut(pairs.filter(F.col("contents") >= min_contexts).join(entities.select("e", "n_e"), "e").join(least, "t").filter(tells).select("e", "n_e", "t", "n_te"))
     bits = _filter_bits(pairs.select(F.xxhash64("t").alias("h")).distinct(), filter_bits)
-    extra = found.select("rid", F.expr("cast(null as array<struct<start int, k int, end int>>)").alias("more")).limit(0)
+    extra = found.select("digest", F.expr("cast(null as array<struct<start int, k int, end int>>)").alias("more")).limit(0)
     if bits.any():
-        often = plain.select("text").mapInArrow(_frequencies(docs.sparkSession.sparkContext.broadcast(bits)), "t string, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
-        entities = near.select("e", "rid").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
-        pmi = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-        told = pairs.join(often, "t").join(entities, "e").filter(pmi >= threshold * F.log(F.lit(float(total)) / F.col("n_e"))).filter("n_e < " + str(total)).select("e", "t")
-        extra = near.join(told, ["e", "t"]).groupBy("rid").agg(F.collect_set(F.struct(F.col("a").alias("start"), F.lit(TERM).alias("k"), F.col("b").alias("end"))).alias("more"))
+        often = plain.select("text").mapInArrow(_frequencies(spark.sparkContext.broadcast(bits)), "t string, n long").groupBy("t").agg(F.sum("n").alias("n_t"))
+        told = cut(pairs.join(often, "t").filter(tells).select("t").distinct())
+        bits = _filter_bits(told.select(F.xxhash64("t").alias("h")), filter_bits)
+        if bits.any():
+            marks = plain.select("text").mapInArrow(_marks(spark.sparkContext.broadcast(bits)), "digest binary, t string, a int, b int")
+            extra = marks.join(told, "t").groupBy("digest").agg(F.collect_set(F.struct(F.col("a").alias("start"), F.lit(TERM).alias("k"), F.col("b").alias("end"))).alias("more"))
     both = F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "more")))
-    return found.drop("near").join(extra, "rid", "left").select("doc_id", F.col("spans").alias("base"), both.alias("spans"))
+    return found.select("doc_id", "digest", "spans").join(extra, "digest", "left").select("doc_id", F.col("spans").alias("base"), both.alias("spans"))
 
 
 def spans_text(spans) -> F.Column:

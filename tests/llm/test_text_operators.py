@@ -308,6 +308,16 @@ def test_copies_are_no_evidence(spark):
     assert all(len(r["spans"]) == len(r["base"]) for r in pii.find_personal_data(frame(spark, rows)).collect())
 
 
+def test_terms_count_over_whole_documents_and_are_marked_everywhere(spark):
+    gap = lambda i: " ".join(f"pad{i}x{k}" for k in range(300))
+    rows = [(i, f"(Quibbler) {gap(i)} sincerely yours me@corp.example.com {gap(i)} quibbler!", "en", "s", 1, 1) for i in range(4)]
+    rows += [(50, "nobody but Quibbler is here", "en", "s", 1, 1)]
+    rows += [(100 + i, f"sincerely yours, other{i}", "en", "s", 1, 1) for i in range(300)]
+    text = dict((r[0], r[1]) for r in rows)
+    got = {r["doc_id"]: [text[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["k"] == pii.TERM] for r in pii.find_personal_data(frame(spark, rows)).collect()}
+    assert {d: t for d, t in got.items() if t} == {**{i: ["Quibbler", "quibbler"] for i in range(4)}, 50: ["Quibbler"]}
+
+
 def test_contract_query_digests(spark, sf_dir):
     from larkspur.llm.queries import op6_personal_data
 
