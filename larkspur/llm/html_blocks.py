@@ -31,6 +31,8 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never text of the page.
 HIDDEN_TAGS = frozenset("script style noscript template head title iframe object svg math canvas audio video textarea select datalist".split())
+#: Elements that may stand in a head; any other one ends it.
+HEAD_TAGS = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 SPACE = re.compile(r"\s+")
 
 
@@ -55,7 +57,15 @@ class Blocks(HTMLParser):
             self.found.append((self.stack[-1][1], text, self.linked))
         self.parts, self.linked = [], 0
 
+    def _end_head(self, tag: str) -> None:
+        """The first element that cannot stand in a head, or the body, closes it with all that is open inside."""
+        at = next((i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i][0] == "head"), 0)
+        if at and tag not in HEAD_TAGS and not any(name == "template" for name, _, _ in self.stack[at:] if tag != "body"):
+            self.flush()
+            del self.stack[at:]
+
     def handle_starttag(self, tag, attrs):
+        self._end_head(tag)
         if tag == "br":
             self.parts.append(" ")
         elif tag == "a":
@@ -100,6 +110,8 @@ class Blocks(HTMLParser):
             del self.stack[at:]
 
     def handle_data(self, data):
+        if self.stack[-1][0] == "head" and data.strip():
+            self._end_head("")
         if not self.stack[-1][2]:
             self.parts.append(data)
             if self.links:

@@ -236,3 +236,13 @@ def test_classifier_takes_edge_documents(spark):
     blank = {r[0] for r in rows if not words(r[1])}
     assert all(r["score"] == 0 and r["posterior"] == 0 and not r["kept"] for r in got if r["doc_id"] in blank)
     assert weak_labels.classify(frame(spark, [])).count() == 0
+
+
+def test_an_omitted_head_end_tag_hides_nothing():
+    from larkspur.llm.html_blocks import blocks
+
+    body = "<p>First words of the text.<p>Second words of it."
+    want = ["First words of the text.", "Second words of it."]
+    for head in ("<head><title>T</title><meta charset=utf-8><body>", "<head><title>T</title>", "<head><style>x</style><noscript><link href=a></noscript>", "<head><title>T</title></head><body>", "<head><template><p>hidden</p></template><body>"):
+        assert [b[1] for b in blocks("<html>" + head + body)] == want, head
+    assert [b[1] for b in blocks("<head><title>T</title>Bare words.<p>More.")] == ["Bare words.", "More."]
