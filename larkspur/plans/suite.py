@@ -217,3 +217,29 @@ i AS (SELECT *, sum(CASE WHEN p IS NULL OR s > p THEN 1 ELSE 0 END) OVER (PARTIT
 SELECT coalesce(t.k, s.k) AS k, CASE WHEN t.k IS NULL THEN -s.n WHEN s.k IS NULL THEN t.n ELSE t.n + s.n END AS n FROM t FULL JOIN s ON t.k = s.k WHERE NOT (t.k IS NOT NULL AND s.k IS NOT NULL AND s.n > 12) AND NOT (s.k IS NULL AND t.k < 50)""",
     "property_graph": "SELECT n_name AS land, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_totalprice > 100000 GROUP BY 1",
 }
+
+
+def merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MERGE over all orders: those of other states make the target, those of state F the source."""
+    s = Session(spark)
+    s.register_table("orders", spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return s.sql(
+        """
+        CREATE TABLE tgt AS SELECT o_custkey AS k, COUNT(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey;
+        MERGE tgt T USING (SELECT o_custkey AS k, COUNT(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) S ON T.k = S.k
+        WHEN MATCHED AND S.n > 6 THEN DELETE
+        WHEN MATCHED THEN UPDATE SET n = T.n + S.n
+        WHEN NOT MATCHED BY TARGET THEN INSERT (k, n) VALUES (k, -n)
+        WHEN NOT MATCHED BY SOURCE AND MOD(T.k, 2) = 0 THEN DELETE;
+        SELECT k, n FROM tgt
+        """
+    )
+
+
+#: text_tokens and merge read heads of texts and ranges of keys, as their SQL says; these read all.
+QUERIES |= {"text_tokens_whole": _runner("SELECT doc_id, ARRAY_LENGTH(TEXT_ANALYZE(text)) AS n, ARRAY_LENGTH(BAG_OF_WORDS(TEXT_ANALYZE(text))) AS d FROM documents"), "merge_whole": merge_whole}
+ORACLE_SQL |= {
+    "text_tokens_whole": "SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS n, len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS d FROM documents",
+    "merge_whole": """WITH t AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1), s AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT coalesce(t.k, s.k) AS k, CASE WHEN t.k IS NULL THEN -s.n WHEN s.k IS NULL THEN t.n ELSE t.n + s.n END AS n FROM t FULL JOIN s ON t.k = s.k WHERE NOT (t.k IS NOT NULL AND s.k IS NOT NULL AND s.n > 6) AND NOT (s.k IS NULL AND t.k % 2 = 0)""",
+}
