@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once in a Python worker; bounds its memory whatever the batch size.
@@ -46,6 +46,11 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def column(name: str) -> Column:
+    """A top-level column, whatever marks its name holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -94,7 +99,8 @@ def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     enc = words.dictionary_encode()
     digest = xxhash.xxh3_64_intdigest
-    own = np.fromiter((digest(w, seed) for w in enc.dictionary.cast(pa.large_binary()).to_pylist()), dtype=np.uint64, count=len(enc.dictionary))
+    names = enc.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    own = np.fromiter(map(digest, names) if not seed else (digest(w, seed) for w in names), dtype=np.uint64, count=len(names))
     return own[enc.indices.to_numpy(zero_copy_only=False)]
 
 

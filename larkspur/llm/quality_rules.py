@@ -5,19 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from .common import cut, seg_sum, split_words, text_slices, word_hashes
+from .common import column, cut, seg_sum, split_words, text_slices, word_hashes
 from .substring_dedup import _inside, base_windows
 
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("upper", "lower", "other letter", "digit", "end mark", "inner mark", "symbol", "rest")
-#: Words that make up less than this share of a slice are no candidates for the common words of a language.
-CANDIDATE_SHARE = 1 / 2000
 
 
 def class_table() -> np.ndarray:
@@ -39,9 +37,9 @@ def class_counts(texts: pa.Array) -> np.ndarray:
     return np.stack([seg_sum(kinds == k, offsets) for k in range(len(CLASSES))], axis=1)
 
 
-def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
+def base_counts(texts: pa.Array, split: tuple[pa.Array, np.ndarray] | None = None) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
-    words, offsets = split_words(texts)
+    words, offsets = split or split_words(texts)
     h = word_hashes(words)
     n = max(len(h) - 2, 0)
     at = np.flatnonzero(_inside(offsets, 3, n))
@@ -67,19 +65,40 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def _lang(batch: pa.RecordBatch) -> pa.Array:
-    return pc.fill_null(batch.column("lang").cast(pa.string()), "")
+def _langs(batch: pa.RecordBatch) -> np.ndarray:
+    """Language of each row; None is a language of its own."""
+    return np.array([*batch.column("lang").cast(pa.string()).to_pylist(), None], dtype=object)[:-1]
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches):
-        words, offsets = split_words(batch.column("text"))
-        lang = pd.Series(_lang(batch).to_pylist()).repeat(np.diff(offsets)).to_numpy()
-        for one in np.unique(lang.astype(str)):
-            mine = words.filter(pa.array(lang == one))
-            found = mine.value_counts()
-            often = found.filter(pc.greater_equal(found.field("counts"), len(mine) * CANDIDATE_SHARE))
-            yield pa.RecordBatch.from_arrays([pa.array([one] * len(often), pa.string()), often.field("values").cast(pa.string()), often.field("counts")], ["lang", "word", "n"])
+def _of(langs: np.ndarray, one: str | None) -> np.ndarray:
+    """Which rows are of a language."""
+    return np.fromiter((x is None for x in langs), bool, len(langs)) if one is None else langs == one
+
+
+def _counted(rare: int | None, only: set | None = None):
+    """(lang, word, n, size) of a slice's words that are one in `rare` of the language's words in it, whose number is size; the word null counts all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            langs = _langs(batch)
+            words, offsets = split_words(batch.column("text"))
+            enc = words.dictionary_encode()
+            names, code = enc.dictionary.cast(pa.string()), enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            own = np.repeat(np.arange(len(langs)), np.diff(offsets))
+            for one in set(langs) if only is None else set(langs) & only:
+                n = np.bincount(code[_of(langs, one)[own]], minlength=len(names))
+                size = int(n.sum())
+                at = np.flatnonzero((n > 0) if rare is None else (n > 0) & (n * rare >= size))
+                word = pa.concat_arrays([names.take(pa.array(at)), pa.nulls(1, pa.string())])
+                yield pa.RecordBatch.from_arrays([pa.array([one] * len(word), pa.string()), word, pa.array([*n[at].tolist(), size], pa.int64()), pa.array([size] * len(word), pa.int64())], ["lang", "word", "n", "size"])
+
+    return run
+
+
+def _word_sums(words: pa.Array, offsets: np.ndarray, common: list[str]) -> np.ndarray:
+    """Counts of common words, and at last of all others."""
+    code = pc.index_in(words.cast(pa.string()), value_set=pa.array(common, pa.string()))
+    return np.bincount(pc.fill_null(code, len(common)).to_numpy(zero_copy_only=False), minlength=len(common) + 1)
 
 
 def _word_counts(words: pa.Array, offsets: np.ndarray, common: list[str]) -> np.ndarray:
@@ -90,36 +109,66 @@ def _word_counts(words: pa.Array, offsets: np.ndarray, common: list[str]) -> np.
     return np.bincount(np.repeat(np.arange(rows), np.diff(offsets)) * wide + code, minlength=rows * wide).reshape(rows, wide)
 
 
-def fit_references(docs: DataFrame, *, common_words: int = 40) -> dict[str, dict]:
+def fit_references(docs: DataFrame, *, common_words: int = 40, rare: int = 2000, most: int = 4096, max_languages: int = 10_000) -> dict[str | None, dict]:
     """Per language: its most common words, and its histograms of these and of character classes, over all documents.
 
-    A language's reference has a fixed size; there are as many as languages.
+    Both are exact and do not depend on how rows are dealt.  A first pass counts
+    words within slices and passes on those that are one in `rare` or more of a
+    slice.  A word left out of a slice is less of it, which bounds every word's
+    total from both sides: where the 40th lower bound is one in `rare` of the
+    language's words, all that may rank above it, up to `most` words, are known
+    and are counted over all documents by the second pass.  For other languages
+    (flat vocabularies) every word is counted, summed before the shuffle and
+    ranked within partitions first.  Ties go to the smaller word.  A reference
+    has a fixed size and there are as many as languages; more than
+    `max_languages` raise, as the driver and each worker hold them all.
     """
-    plain = docs.select("lang", "text")
-    found = plain.mapInArrow(_candidates, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    best = found.groupBy("lang").agg(F.expr(f"slice(sort_array(collect_list(struct(-n, word))), 1, {common_words})").alias("top"))
-    common = {r["lang"]: [w[1] for w in r["top"]] for r in best.collect()}
+    spark, plain, schema = docs.sparkSession, docs.select("lang", "text"), "lang string, word string, n long, size long"
+
+    def ranked(counts: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")).alias("rank")
+        return counts.filter("word is not null").select("lang", "word", "n", rank).filter(F.col("rank") <= common_words)
+
+    found = cut(plain.mapInArrow(_counted(rare), schema).groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("size").alias("size")))
+    sizes = found.filter("word is null").select("lang", F.col("n").alias("all"))
+    if sizes.count() > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    size = {r["lang"]: r["all"] for r in sizes.collect()}
+    least = dict.fromkeys(size, 0) | {r["lang"]: r["n"] for r in ranked(found).filter(F.col("rank") == common_words).collect()}
+    sure = {x for x, n in size.items() if least[x] * rare >= n or n < rare}
+    common: dict[str | None, list[str]] = {}
+    if sure:
+        bounds = spark.createDataFrame([(x, size[x], least[x]) for x in sure], "of string, all long, least long")
+        able = found.filter("word is not null").join(F.broadcast(bounds), F.col("lang").eqNullSafe(F.col("of"))).filter(F.col("n") * rare + F.col("all") - F.col("size") >= F.col("least") * rare)
+        many = {r["lang"]: r["count"] for r in able.groupBy("lang").count().collect()}
+        sure = {x for x in sure if many.get(x, 0) <= most}
+        able = able.join(F.broadcast(spark.createDataFrame([(x,) for x in sure], "known string")), F.col("lang").eqNullSafe(F.col("known"))) if sure else able.limit(0)
+        for r in able.select("lang", "word").collect():
+            common.setdefault(r["lang"], []).append(r["word"])
+    if flat := set(size) - sure:
+        every = plain.mapInArrow(_counted(None, flat), schema).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        for r in ranked(every).collect():
+            common.setdefault(r["lang"], []).append(r["word"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[str | None, np.ndarray] = {}
         for batch in text_slices(batches):
-            langs = np.array(_lang(batch).to_pylist(), dtype=object)
+            langs = _langs(batch)
             for one in set(langs):
-                texts = batch.column("text").filter(pa.array(langs == one))
-                words, offsets = split_words(texts)
-                row = np.concatenate((class_counts(texts).sum(0), _word_counts(words, offsets, common.get(one, [])).sum(0)))
+                texts = batch.column("text").filter(pa.array(_of(langs, one)))
+                row = np.concatenate((class_counts(texts).sum(0), _word_sums(*split_words(texts), common.get(one, []))))
                 sums[one] = sums.get(one, 0) + row
         for one, row in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([one] * len(row), pa.string()), pa.array(np.arange(len(row), dtype=np.int32)), pa.array(row.astype(np.int64))], ["lang", "bin", "n"])
 
-    totals = plain.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
-    out: dict[str, dict] = {}
-    for lang in {r["lang"] for r in totals}:
-        row = np.zeros(len(CLASSES) + len(common.get(lang, [])) + 1)
-        for r in totals:
-            if r["lang"] == lang:
-                row[r["bin"]] = r["n"]
-        out[lang] = {"words": common.get(lang, []), "chars": row[: len(CLASSES)], "counts": row[len(CLASSES) :]}
+    rows: dict[str | None, np.ndarray] = {x: np.zeros(len(CLASSES) + len(common.get(x, [])) + 1) for x in size}
+    for r in plain.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect():
+        rows[r["lang"]][r["bin"]] = r["n"]
+    out = {}
+    for one, row in rows.items():
+        counted = sorted(zip(common.get(one, []), row[len(CLASSES) :]), key=lambda x: (-x[1], x[0].encode()))[:common_words]
+        rest = row[len(CLASSES) :].sum() - sum(n for _, n in counted)
+        out[one] = {"words": [w for w, _ in counted], "chars": row[: len(CLASSES)], "counts": np.array([*(n for _, n in counted), rest])}
     return out
 
 
@@ -144,7 +193,7 @@ SCHEMA = (
 def quality_rules(
     docs: DataFrame,
     *,
-    references: dict[str, dict] | None = None,
+    references: dict[str | None, dict] | None = None,
     max_char_distance: float = 0.30,
     max_word_distance: float = 0.42,
     min_chars: int = 200,
@@ -165,42 +214,37 @@ def quality_rules(
     of its own.  Repeated rows give a row each, other columns are ignored, an
     empty table gives an empty table.
     """
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("lang"), F.col("text"))
+    plain = docs.select(column(id_col).cast("long").alias("doc_id"), "lang", "text")
     refs = plain.sparkSession.sparkContext.broadcast(fit_references(plain) if references is None else references)
 
+    def judged(texts: pa.Array, langs: np.ndarray) -> list[tuple[str, np.ndarray]]:
+        counts = split_words(texts)
+        n, chars = base_counts(texts, counts), class_counts(texts)
+        far, off = np.zeros(len(langs)), np.zeros(len(langs))
+        for one in set(langs) & set(refs.value):
+            mine, ref = np.flatnonzero(_of(langs, one)), refs.value[one]
+            far[mine] = js_distance(chars[mine], ref["chars"])
+            off[mine] = js_distance(_word_counts(*counts, ref["words"])[mine], ref["counts"])
+        failed = (n["n_words"] < min_words) | (100 * n["n_repeat_words"] > max_repeat_percent * n["n_words"])
+        bad = (n["word_chars"] >= min_chars) & ((far > max_char_distance) | (off > max_word_distance))
+        return [*((k, v.astype(np.int64)) for k, v in n.items()), ("base_failed", failed), ("kept", ~failed & ~bad), ("char_distance", far), ("word_distance", off)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            texts, langs = batch.column("text"), np.array(_lang(batch).to_pylist(), dtype=object)
-            n = base_counts(texts)
-            chars, counts = class_counts(texts), split_words(texts)
-            far, off = np.zeros(len(langs)), np.zeros(len(langs))
-            for one in set(langs) & set(refs.value):
-                mine, ref = np.flatnonzero(langs == one), refs.value[one]
-                far[mine] = js_distance(chars[mine], ref["chars"])
-                off[mine] = js_distance(_word_counts(*counts, ref["words"])[mine], ref["counts"])
-            failed = (n["n_words"] < min_words) | (100 * n["n_repeat_words"] > max_repeat_percent * n["n_words"])
-            bad = (n["word_chars"] >= min_chars) & ((far > max_char_distance) | (off > max_word_distance))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(v.astype(np.int64)) for v in n.values()), pa.array(failed), pa.array(~failed & ~bad), pa.array(far), pa.array(off)],
-                ["doc_id", *n, "base_failed", "kept", "char_distance", "word_distance"],
-            )
+            found = judged(batch.column("text"), _langs(batch))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v) for _, v in found)], ["doc_id", *(k for k, _ in found)])
 
     if not carry:
         return plain.mapInArrow(run, SCHEMA)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            kept = next(run(iter([batch.select(["doc_id", "lang", "text"])]))).column("kept")
-            row = batch.column("row")
-            yield pa.RecordBatch.from_arrays([row, kept], ["row", "kept"])
-
-    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), "lang", "text")
-
-    def judge_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(iter([batch])):
-                for row in judge(iter([part])):
-                    yield pa.RecordBatch.from_arrays([*row.columns, part.column("text").cast(pa.string())], ["row", "kept", "text"])
-
-    out = whole.mapInArrow(judge_text, f"row {whole.schema['row'].dataType.simpleString()}, kept boolean, text string")
-    return out.select(*[(F.col("text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns if c != "kept"], "kept")
+            kept = dict(judged(batch.column("text"), _langs(batch)))["kept"]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept), batch.column("text").cast(pa.string()), batch.column("blank")], ["row", "kept", "text", "blank"])
+
+    rest = [c for c in docs.columns if c not in ("text", "kept")]
+    whole = docs.select(F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("row"), "lang", "text", F.isnull("text").alias("blank"))
+    schema = StructType([whole.schema["row"], StructField("kept", BooleanType()), StructField("text", StringType()), StructField("blank", BooleanType())])
+    done = whole.mapInArrow(judge, schema)
+    text = F.when(~F.col("blank"), F.col("text"))
+    return done.select(*[text.alias(c) if c == "text" else F.col("row")[f"c{rest.index(c)}"].alias(c) for c in docs.columns if c != "kept"], "kept")
