@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import seg_sum, split_words, text_slices
-from .quality_rules import _lang, _word_counts, base_counts, class_counts, fit_references, js_distance
+from .common import column, cut, seg_sum, split_words, text_slices
+from .quality_rules import _langs, _of, _word_counts, base_counts, class_counts, fit_references, js_distance
 
 BUCKETS = 1 << 15
 #: Documents that train the scorer at most: those of the smallest id hashes.
@@ -25,30 +27,30 @@ LABELLERS = (
     ("characters per word", (3.0, 9.0), (2.0, 13.0)),
     ("character divergence", (0.0, 0.18), (0.0, 0.3)),
     ("end marks per word", (0.01, 0.25), (0.002, 0.5)),
-    ("distinct words share", (0.3, 1.0), (0.1, 1.0)),
+    ("logarithm of distinct words in that of words", (0.75, 1.0), (0.6, 1.0)),
     ("words without a letter or digit", (0.0, 0.02), (0.0, 0.15)),
 )
 
 
-def measures(texts: pa.Array, langs: np.ndarray, refs: dict[str, dict]) -> np.ndarray:
+def measures(texts: pa.Array, langs: np.ndarray, refs: dict[str | None, dict]) -> np.ndarray:
     """(documents, labellers): what each labeller looks at."""
-    n, chars = base_counts(texts), class_counts(texts)
     words, offsets = split_words(texts)
+    n, chars = base_counts(texts, (words, offsets)), class_counts(texts)
     letters = np.maximum(chars[:, 0] + chars[:, 1] + chars[:, 2], 1)
     size, long = np.maximum(n["n_words"], 1), np.maximum(n["word_chars"], 1)
     common, far = np.zeros(len(langs)), np.zeros(len(langs))
     for one in set(langs) & set(refs):
-        mine = np.flatnonzero(langs == one)
+        mine = np.flatnonzero(_of(langs, one))
         spoken = [w for w in refs[one]["words"] if any(map(str.isalpha, w))]
         common[mine] = _word_counts(words, offsets, spoken)[mine, :-1].sum(1) / size[mine]
         far[mine] = js_distance(chars[mine], refs[one]["chars"])
     enc = words.dictionary_encode()
     code = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(words) else np.zeros(0, np.int64)
-    mark = np.array([not any(map(str.isalnum, w)) for w in enc.dictionary.to_pylist()], bool)[code] if len(code) else np.zeros(0, bool)
+    mark = ~pc.match_substring_regex(enc.dictionary, r"[\pL\pN]").to_numpy(zero_copy_only=False)[code]
     own = np.repeat(np.arange(len(langs)), np.diff(offsets))
     top = int(code.max()) + 1 if len(code) else 1
     distinct = np.bincount(np.unique(own * top + code) // top, minlength=len(langs))
-    rows = (common, n["n_symbols"] / long, chars[:, 0] / letters, n["n_repeat_words"] / size, n["word_chars"] / size, far, chars[:, 4] / size, np.minimum(1, distinct / np.minimum(size, 300)), seg_sum(mark, offsets) / size)
+    rows = (common, n["n_symbols"] / long, chars[:, 0] / letters, n["n_repeat_words"] / size, n["word_chars"] / size, far, chars[:, 4] / size, np.log1p(distinct) / np.log1p(size), seg_sum(mark, offsets) / size)
     return np.stack(rows, axis=1)
 
 
@@ -91,28 +93,36 @@ class LabelModel:
         return right / (right + self.prior[1] * self.table[1][:, 2] + self.prior[0] * self.table[0][:, 1])
 
 
-def _shape(word: str) -> str:
-    out = []
-    for c in word[:24]:
-        c = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        if not out or out[-1] != c:
-            out.append(c)
-    return "".join(out)
+class _Kinds(dict):
+    """Code point -> A for upper case, a for other letters, 0 for digits, else itself; filled as characters are met."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return self[point]
+
+
+_KINDS = _Kinds()
+_RUN = re.compile(r"(.)\1+", re.S)
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two buckets of each word (itself; its shape, or that it repeats the word before) and the offsets of texts."""
+    """Two buckets of each word (itself; its shape, or that it repeats the word before) and the offsets of texts.
+
+    A shape is the word's kinds of characters, runs of one kind as one.
+    """
     words, offsets = split_words(texts)
     enc = words.dictionary_encode()
-    names = enc.dictionary.to_pylist()
-    h = lambda s: xxhash.xxh3_64_intdigest(s) % (BUCKETS - 1) + 1
-    code = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(words) else np.zeros(0, np.int64)
-    word = np.array([h(w) for w in names], np.int32)[code] if len(code) else np.zeros(0, np.int32)
-    shape = np.array([h("shape " + _shape(w)) for w in names], np.int32)[code] if len(code) else np.zeros(0, np.int32)
+    names, digest, size = enc.dictionary.to_numpy(zero_copy_only=False), xxhash.xxh3_64_intdigest, np.uint64(BUCKETS - 1)
+    own = (np.fromiter(map(digest, names), np.uint64, len(names)) % size + np.uint64(1)).astype(np.int32)
+    kinds = [w.translate(_KINDS) for w in names]
+    known = {k: int(digest("shape " + _RUN.sub(r"\1", k)) % (BUCKETS - 1) + 1) for k in set(kinds)}
+    forms = np.fromiter(map(known.__getitem__, kinds), np.int32, len(kinds))
+    code = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     again = np.zeros(len(code), bool)
     again[1:] = code[1:] == code[:-1]
     again[offsets[:-1][offsets[:-1] < len(code)]] = False
-    return word, np.where(again, 0, shape), offsets
+    return own[code], np.where(again, 0, forms[code]), offsets
 
 
 def train(sets: list[np.ndarray], labels: np.ndarray, rounds: int = 200, rate: float = 1.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -138,40 +148,54 @@ def classify(docs: DataFrame, *, training_rows: int = TRAINING_ROWS, keep_from:
     posterior: P(good) by the label model, whose accuracies are estimated from
     the vote patterns of all documents (3 ** labellers patterns at most).
     score: P(good) by a linear scorer over hashed words and word shapes,
-    trained on the posteriors of `training_rows` documents at most.  kept:
-    score >= keep_from.
-
-    A null or blank text has posterior 0 and score 0 and is not kept.  A null
-    language is a language of its own.  Repeated rows give a row each; other
-    columns are ignored; an empty table gives an empty table.
+    trained on the posteriors of `training_rows` documents, those of the
+    smallest hashes of id and text (of fewer, all).  kept: score >= keep_from.
+
+    The labellers look at each text once: votes are stored as one number a row,
+    from which the patterns are counted, the training rows chosen and the
+    posteriors read.  A null or blank text has posterior 0 and score 0 and is
+    not kept.  A null language is a language of its own.  Repeated rows give a
+    row each; other columns are ignored; an empty table gives an empty table.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("lang"), F.col("text"))
+    plain = docs.select(column(id_col).cast("long").alias("doc_id"), "lang", "text")
+    plain = plain.withColumn("key", F.xxhash64("doc_id", "lang", "text"))
     refs = spark.sparkContext.broadcast(fit_references(plain))
-    weights = [3**i for i in range(len(LABELLERS))]
-
-    def vote(batch: pa.RecordBatch) -> np.ndarray:
-        return votes(measures(batch.column("text"), np.array(_lang(batch).to_pylist(), dtype=object), refs.value))
+    weights = np.array([3**i for i in range(len(LABELLERS))])
 
-    def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
-            kinds, n = np.unique(vote(batch) @ np.array(weights), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array(n.astype(np.int64))], ["p", "n"])
-
-    found = plain.mapInArrow(patterns, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect()
+            found = votes(measures(batch.column("text"), _langs(batch), refs.value)).astype(np.int64) @ weights
+            blank = np.diff(split_words(batch.column("text"))[1]) == 0
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(found), pa.array(blank)], ["doc_id", "key", "p", "blank"])
+
+    # equal rows have equal votes: one of them stands for all, with their number
+    voted = plain.mapInArrow(vote, "doc_id long, key long, p long, blank boolean")
+    voted = cut(voted.groupBy("doc_id", "key").agg(F.first("p").alias("p"), F.first("blank").alias("blank"), F.count("*").alias("n")))
+    found = voted.groupBy("p").agg(F.sum("n").alias("n")).orderBy("p").collect()
     if not found:
         return plain.select("doc_id", F.lit(0.0).alias("posterior"), F.lit(0.0).alias("score"), F.lit(False).alias("kept"))
     digits = np.array([[r["p"] // w % 3 for w in weights] for r in found])
-    model = spark.sparkContext.broadcast(LabelModel(digits, np.array([r["n"] for r in found], float)))
+    good = LabelModel(digits, np.array([r["n"] for r in found], float)).posterior(digits)
+    belief = F.broadcast(spark.createDataFrame([(r["p"], float(x)) for r, x in zip(found, good)], "p long, posterior double"))
+
+    # smallest hashes: bins of them (65,536 at most) tell how far to look, so that about as many rows are sorted as are needed
+    able, stop, need = voted.filter("NOT blank"), -(1 << 15), training_rows
+    for r in able.groupBy(F.shiftright("key", 48).alias("bin")).count().orderBy("bin").collect():
+        stop, need = r["bin"], need - r["count"]
+        if need <= 0:
+            break
+    chosen = cut(able.filter(F.shiftright("key", 48) <= stop).orderBy("key", "doc_id").limit(training_rows).join(belief, "p").select(F.col("doc_id").alias("id"), F.col("key").alias("k"), "posterior"))
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             word, shape, at = features(batch.column("text"))
             rows = [np.concatenate((word[a:b], shape[a:b])).astype("<u2").tobytes() for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(model.value.posterior(vote(batch).astype(np.int64))), pa.array(rows, pa.binary())], ["p", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("posterior"), pa.array(rows, pa.binary())], ["doc_id", "key", "p", "x"])
 
-    chosen = plain.filter(F.length(F.trim("text")) > 0).orderBy(F.xxhash64("doc_id", "text")).limit(training_rows)
-    rows = chosen.mapInArrow(examples, "p double, x binary").toArrow()
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k"))
+    rows = plain.join(F.broadcast(chosen), same).select("doc_id", "key", "posterior", "text").mapInArrow(examples, "doc_id long, key long, p double, x binary")
+    rows = rows.groupBy("doc_id", "key").agg(F.first("p").alias("p"), F.first("x").alias("x")).orderBy("key", "doc_id").toArrow()
     sets = [np.frombuffer(x, "<u2").astype(np.int64) for x in rows.column("x").to_pylist()]
     scorer = spark.sparkContext.broadcast(train(sets, rows.column("p").to_numpy()) if sets else (np.zeros(BUCKETS), 0.0))
 
@@ -181,7 +205,8 @@ def classify(docs: DataFrame, *, training_rows: int = TRAINING_ROWS, keep_from:
             size = np.diff(at)
             sums = np.diff(np.concatenate(([0.0], np.cumsum(w[word] + w[shape])))[at])
             p = np.where(size > 0, 1 / (1 + np.exp(-np.clip(sums / np.maximum(size, 1) + b, -50, 50))), 0.0)
-            post = np.where(size > 0, model.value.posterior(vote(batch).astype(np.int64)), 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(post), pa.array(p), pa.array((p >= keep_from) & (size > 0))], ["doc_id", "posterior", "score", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(p), pa.array((p >= keep_from) & (size > 0))], ["doc_id", "key", "score", "kept"])
 
-    return plain.mapInArrow(score, "doc_id long, posterior double, score double, kept boolean")
+    scored = plain.select("doc_id", "key", "text").mapInArrow(score, "doc_id long, key long, score double, kept boolean")
+    votes_of = voted.join(belief, "p").select(F.col("doc_id").alias("id"), F.col("key").alias("k"), F.when(F.col("blank"), 0.0).otherwise(F.col("posterior")).alias("posterior"))
+    return scored.join(votes_of, same).select("doc_id", "posterior", "score", "kept")
