@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove_dir, shared_dir
+from .common import cut, remove_dir, shared_dir
 
 BLANKS = " \t\n\x0b\f\r"
+#: Frequent keys (16 bytes each) that are broadcast at most; more are joined by shuffles, where AQE splits skewed ones.
+FEW = 1 << 19
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,17 +38,21 @@ class LineRuns:
 
     A batch is merge-anti-joined with the keys that the runs already know to be
     frequent and the rest is added as a run of level 0.  `fanout` runs of a
-    level are merged into one of the next, adding up n.  Runs are tables in the
-    shared checkpoint folder, so a lost executor loses none; each is named by
-    the batches that it covers.  A driver that starts again with the same root
-    goes on after the last batch that was written whole: of runs that cover the
-    same batches, the widest counts.
+    level are merged into one of the next, adding up n.  Runs are bucketed by
+    hash, a sorted file a bucket, so a join with a run shuffles and sorts the
+    batch alone and a merge of two runs shuffles and sorts nothing.  They lie in the shared checkpoint
+    folder, so a lost executor loses none; each is named by its number of
+    buckets and the batches that it covers.  A driver that starts again with the
+    same root goes on after the last batch that was written whole: of runs that
+    cover the same batches, the widest counts.
     """
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 3, root: str | None = None):
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2, root: str | None = None):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.root = root or shared_dir(spark, "line-runs")
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
+        self.names: dict[str, str] = {}
         self.batches = 0
         if root is not None:
             self._resume()
@@ -67,24 +74,46 @@ class LineRuns:
 
     @staticmethod
     def _span(path: str) -> tuple[int, int]:
-        low, _, high = path.rsplit("/run", 1)[1].partition("-")
+        low, high, _ = path.rsplit("/run", 1)[1].split("-")
         return int(low), int(high)
 
+    def _open(self, path: str) -> DataFrame:
+        if path not in self.names:
+            self.names[path], n = f"line_run_{uuid.uuid4().hex}", path.rsplit("-", 1)[1]
+            self.spark.sql(f"CREATE TABLE {self.names[path]} (h1 BIGINT, h2 BIGINT, n BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {n} BUCKETS LOCATION '{path}'")
+        return self.spark.table(self.names[path])
+
     def _write(self, run: DataFrame, level: int, low: int, high: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        path = f"{self.root}/level{level}/run{low}-{high}"
-        run.sortWithinPartitions("h1", "h2").write.mode("overwrite").parquet(path)
+        path = f"{self.root}/level{level}/run{low}-{high}-{self.buckets}"
+        name = self.names[path] = f"line_run_{uuid.uuid4().hex}"
+        order = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+        before = self.spark.conf.get(order, None)
+        self.spark.conf.set(order, "true")  # a bucket is one file here, read in its order
+        try:
+            run.repartition(self.buckets, "h1", "h2").write.mode("overwrite").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        finally:
+            self.spark.conf.unset(order) if before is None else self.spark.conf.set(order, before)
         self.levels[level].append(path)
 
     def _merged(self, paths: list[str]) -> DataFrame:
-        runs = reduce(DataFrame.unionAll, [self.spark.read.parquet(p) for p in paths])
-        return runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+        def both(a: DataFrame, b: DataFrame) -> DataFrame:
+            n = F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))
+            return a.join(b.withColumnRenamed("n", "n2"), ["h1", "h2"], "full").select("h1", "h2", n.alias("n"))
+
+        # a merge join of sorted runs; a union of bucketed tables would lose its partitioning in this version of Spark
+        return reduce(both, map(self._open, paths))
+
+    def _drop(self, path: str) -> None:
+        if path in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop(path)}")
+        remove_dir(self.spark, path)
 
     def add(self, keys: DataFrame) -> None:
         own = keys.groupBy("h1", "h2").agg(F.count("*").alias("n"))
         for path in (p for level in self.levels for p in level):
-            known = self.spark.read.parquet(path).filter(F.col("n") >= self.min_docs).select("h1", "h2")
+            known = self._open(path).filter(F.col("n") >= self.min_docs).select("h1", "h2")
             own = own.join(known, ["h1", "h2"], "left_anti")
         self._write(own, 0, self.batches, self.batches)
         self.batches += 1
@@ -94,12 +123,18 @@ class LineRuns:
             spans = [self._span(p) for p in old]
             self._write(self._merged(old), level + 1, min(a for a, _ in spans), max(b for _, b in spans))
             for path in old:
-                remove_dir(self.spark, path)
+                self._drop(path)
             level += 1
 
     def frequent(self) -> DataFrame:
-        """(h1, h2) of the keys found in min_docs documents or more."""
-        return self._merged([p for level in self.levels for p in level]).filter(F.col("n") >= self.min_docs).select("h1", "h2")
+        """(h1, h2) of the keys found in min_docs documents or more, checkpointed."""
+        return cut(self._merged([p for level in self.levels for p in level]).filter(F.col("n") >= self.min_docs).select("h1", "h2"))
+
+    def close(self) -> None:
+        """Remove all runs."""
+        for level in self.levels:
+            for path in level:
+                self._drop(path)
 
 
 def dedup_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batches: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,6 +151,8 @@ def dedup_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batc
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
+    given, (id_col, text_col) = docs.columns, (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    docs = docs.toDF(*[f"c{i}" for i in range(len(given))])  # no name can clash with those used here
     runs = LineRuns(spark, min_docs)
     low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
     bounds = [low + (high - low + 1) * i // batches for i in range(1, batches)] if isinstance(low, int) else []
@@ -129,9 +166,13 @@ def dedup_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batc
         if a is not None:
             part = part.filter(F.col(id_col) >= a)
         runs.add(_row_keys(part, text_col, min_chars))
+    often = runs.frequent()
+    runs.close()
+    if often.count() <= FEW:  # sent to where the lines are, so that a line of very many documents goes to no task of its own
+        often = F.broadcast(often)
     hits = (
         _row_keys(docs, text_col, min_chars, F.col(id_col).alias("__id"))
-        .join(runs.frequent(), ["h1", "h2"])
+        .join(often, ["h1", "h2"])
         .groupBy("__id")
         .agg(F.collect_set("h1").alias("__drop"))
     )
@@ -141,8 +182,9 @@ def dedup_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batc
     left = F.filter(lines, lambda x: (F.char_length(line_key(x)) < min_chars) | ~F.array_contains(F.col("__drop"), F.xxhash64(line_key(x))))
     joined = joined.withColumn("__left", F.when(F.col("__drop").isNotNull(), left))
     out = {c: F.coalesce(F.array_join("__left", "\n"), text) if c == text_col else F.col(c) for c in docs.columns}
-    return joined.select(
+    joined = joined.select(
         *[v.alias(k) for k, v in out.items()],
         F.size(lines).cast("long").alias("n_lines"),
         F.when(F.col("__left").isNull(), 0).otherwise(F.size(lines) - F.size("__left")).cast("long").alias("n_dropped"),
     )
+    return joined.toDF(*given, "n_lines", "n_dropped")
