@@ -6,6 +6,7 @@ import io
 import math
 import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -22,15 +23,15 @@ PATH_BUCKETS, WORD_BUCKETS, NUMBERS = 512, 128, 8
 INPUTS = PATH_BUCKETS + WORD_BUCKETS + NUMBERS
 HIDDEN = 16
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "html_blocks.npz")
-CHUNK = 512  # blocks of pages that are labelled at once, at least one page
+CHUNK = 4096  # blocks whose inputs are held at once; pages are labelled together up to as many, or one by one
 
 #: Elements that end a block of text.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option optgroup p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never text of the page.
-HIDDEN_TAGS = frozenset("script style noscript template head title iframe object svg math canvas audio video textarea select datalist".split())
+#: Elements whose content is never text of the page: scripts, styles, what stands for them, the head and what a form holds.
+HIDDEN_TAGS = frozenset("script style noscript template head title iframe textarea select datalist".split())
 #: Elements that may stand in a head; any other one ends it.
 HEAD_TAGS = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 SPACE = re.compile(r"\s+")
@@ -50,6 +51,17 @@ class Blocks(HTMLParser):
         self.found: list[tuple[frozenset, str, int]] = []
         self.parts: list[str] = []
         self.links = self.linked = 0
+        self.open: Counter[str] = Counter()
+
+    def parse_marked_section(self, i, report=1):
+        """<![...> outside foreign content is a comment, whatever it holds."""
+        return self.parse_bogus_comment(i, 0)
+
+    def _cut(self, at: int) -> None:
+        """Close the open elements from place `at` on."""
+        for name, _, _ in self.stack[at:]:
+            self.open[name] -= 1
+        del self.stack[at:]
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
@@ -59,10 +71,12 @@ class Blocks(HTMLParser):
 
     def _end_head(self, tag: str) -> None:
         """The first element that cannot stand in a head, or the body, closes it with all that is open inside."""
-        at = next((i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i][0] == "head"), 0)
-        if at and tag not in HEAD_TAGS and not any(name == "template" for name, _, _ in self.stack[at:] if tag != "body"):
+        if not self.open["head"] or tag in HEAD_TAGS:
+            return
+        at = next(i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i][0] == "head")
+        if tag == "body" or not self.open["template"] or all(name != "template" for name, _, _ in self.stack[at:]):
             self.flush()
-            del self.stack[at:]
+            self._cut(at)
 
     def handle_starttag(self, tag, attrs):
         self._end_head(tag)
@@ -84,13 +98,14 @@ class Blocks(HTMLParser):
                 names += [f"{key}={x}" for x in re.split(r"[\s_-]+", (value or "").lower()) if x]
         path = self.stack[-1][1].union(_bucket(n, PATH_BUCKETS) for n in names)
         self.stack.append((tag, path, self.stack[-1][2] or tag in HIDDEN_TAGS))
+        self.open[tag] += 1
         self.links = 0 if tag in BLOCKS else self.links
 
     def _close_open(self, tag: str) -> None:
         """What a new element of this kind closes by itself."""
         own = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
         while self.stack[-1][0] == "p" or self.stack[-1][0] in own:
-            self.stack.pop()
+            self._cut(len(self.stack) - 1)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -105,9 +120,8 @@ class Blocks(HTMLParser):
             return
         if tag in BLOCKS:
             self.flush()
-        at = next((i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i][0] == tag), 0)
-        if at:
-            del self.stack[at:]
+        if self.open[tag]:
+            self._cut(next(i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i][0] == tag))
 
     def handle_data(self, data):
         if self.stack[-1][0] == "head" and data.strip():
@@ -119,6 +133,7 @@ class Blocks(HTMLParser):
 
 
 def blocks(html: str) -> list[tuple[frozenset, str, int]]:
+    """Blocks of a page; markup that is not well formed is read as browsers do or skipped, and never raises."""
     reader = Blocks()
     reader.feed(html)
     reader.close()
@@ -126,18 +141,19 @@ def blocks(html: str) -> list[tuple[frozenset, str, int]]:
     return reader.found
 
 
-def inputs(page: list[tuple[frozenset, str, int]]) -> np.ndarray:
-    """(blocks, INPUTS): hashed tag path, hashed words (both scaled by their number), and a few measures."""
-    out = np.zeros((len(page), INPUTS), np.float32)
-    for i, (path, text, linked) in enumerate(page):
+def inputs(page: list[tuple[frozenset, str, int]], start: int = 0, stop: int | None = None) -> np.ndarray:
+    """(blocks start to stop, INPUTS): hashed tag path, all hashed words (both scaled by their number), and a few measures."""
+    some = page[start:stop]
+    out = np.zeros((len(some), INPUTS), np.float32)
+    for i, (path, text, linked) in enumerate(some):
         words = text.split(" ")
+        n = len(words)
         if path:
             out[i, list(path)] = 1 / math.sqrt(len(path))
-        at = [PATH_BUCKETS + _bucket(w.lower(), WORD_BUCKETS) for w in words[:64]]
-        np.add.at(out[i], at, 1 / math.sqrt(len(at) * 4))
-        n = len(words)
+        at = np.fromiter((_bucket(w.lower(), WORD_BUCKETS) for w in words), np.int64, n)
+        out[i, PATH_BUCKETS:-NUMBERS] = np.bincount(at, minlength=WORD_BUCKETS) / math.sqrt(n * 4)
         ends = sum(text.count(c) for c in ".!?")
-        out[i, -NUMBERS:] = (math.log1p(n) / 5, math.log1p(len(text)) / 7, linked / len(text), min(ends / n, 1), text.count(",") / n, i / len(page), float(text[-1] in ".!?:"), math.log1p(len(page)) / 5)
+        out[i, -NUMBERS:] = (math.log1p(n) / 5, math.log1p(len(text)) / 7, linked / len(text), min(ends / n, 1), text.count(",") / n, (start + i) / len(page), float(text[-1] in ".!?:"), math.log1p(len(page)) / 5)
     return out
 
 
@@ -198,27 +214,31 @@ class Labeller:
             dx[t], dh, dc = back[:, : -HIDDEN], back[:, -HIDDEN:] + pass_h, d * f + pass_c
         return dx, dw, db
 
+    def embed(self, page: list[tuple[frozenset, str, int]]) -> np.ndarray:
+        """(blocks, 2 HIDDEN): what the recurrent layer reads; the wide inputs are held for CHUNK blocks only."""
+        return np.concatenate([np.tanh(inputs(page, a, a + CHUNK) @ self.w["e"] + self.w["eb"]) for a in range(0, len(page), CHUNK)])
+
     def forward(self, pages: list[np.ndarray], keep: bool = False):
-        w = self.w
+        """(time, pages) probabilities of embedded pages, and with `keep` what the gradients need."""
+        w, H = self.w, HIDDEN
         T, N = max(map(len, pages)), len(pages)
-        x = np.zeros((T, N, HIDDEN * 2), np.float32)
+        x = np.zeros((T, N, H * 2), np.float32)
         mask = np.zeros((T, N), np.float32)
-        flat = np.concatenate(pages)
-        e = np.tanh(flat @ w["e"] + w["eb"])
-        at = 0
         for n, p in enumerate(pages):
-            x[: len(p), n] = e[at : at + len(p)]
+            x[: len(p), n] = p
             mask[: len(p), n] = 1
-            at += len(p)
         hf, tf = self._run(x, mask, w["fw"], w["fb"], keep)
         hb, tb = self._run(x[::-1], mask[::-1], w["bw"], w["bb"], keep)
         # the output sees both directions and the block itself
-        y = np.concatenate([hf, hb[::-1], x], axis=2)
-        p = 1 / (1 + np.exp(-np.clip((y @ w["o"] + w["ob"])[:, :, 0], -30, 30)))
-        return p, (flat, e, x, mask, tf, tb, y)
+        z = hf @ w["o"][:H] + hb[::-1] @ w["o"][H : 2 * H] + x @ w["o"][2 * H :] + w["ob"]
+        return 1 / (1 + np.exp(-np.clip(z[:, :, 0], -30, 30))), (x, mask, hf, hb, tf, tb)
 
     def gradients(self, pages: list[np.ndarray], labels: list[np.ndarray]) -> tuple[float, dict[str, np.ndarray]]:
-        p, (flat, e, x, mask, tf, tb, y) = self.forward(pages, keep=True)
+        flat = np.concatenate(pages)
+        e = np.tanh(flat @ self.w["e"] + self.w["eb"])
+        ends = np.cumsum([len(q) for q in pages])
+        p, (x, mask, hf, hb, tf, tb) = self.forward(np.split(e, ends[:-1]), keep=True)
+        y = np.concatenate([hf, hb[::-1], x], axis=2)
         want = np.zeros_like(p)
         for n, row in enumerate(labels):
             want[: len(row), n] = row
@@ -234,13 +254,13 @@ class Labeller:
         g["e"], g["eb"] = flat.T @ de, de.sum(0)
         return float(loss), g
 
-    def probabilities(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+    def probabilities(self, pages: list[list[tuple[frozenset, str, int]]]) -> list[np.ndarray]:
         """P(main text) of every block of every page; pages of like length are run together."""
         out: list[np.ndarray] = [np.zeros(0, np.float32)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if len(p)), key=lambda i: len(pages[i]))
-        for a in range(0, len(order), 64):
-            some = order[a : a + 64]
-            p, _ = self.forward([pages[i] for i in some])
+        for a in range(0, len(order), 128):
+            some = order[a : a + 128]
+            p, _ = self.forward([self.embed(pages[i]) for i in some])
             for n, i in enumerate(some):
                 out[i] = p[: len(pages[i]), n]
         return out
@@ -258,8 +278,11 @@ def main_text(page: list[tuple[frozenset, str, int]], p: np.ndarray, threshold:
 def extract(pages: DataFrame, *, model: bytes | None = None, threshold: float = 0.5, html_col: str = "html", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages.
 
-    Every block of a page is labelled with the whole page in view; those that
-    are main text are joined by two line ends.  A null or blank page, or one
+    Every block of a page is labelled with the whole page in view, by all its
+    words; those that are main text are joined by two line ends.  Only scripts,
+    styles, their stand-ins, heads and fields of forms are left out unlabelled.
+    Malformed markup is read as far as it goes.  A page's blocks take a few
+    hundred bytes each, so one of a million blocks fits a worker.  A null or blank page, or one
     without main text, has the text ''.  Repeated rows give a row each; other
     columns are ignored; an empty table gives an empty table.
     """
@@ -272,11 +295,11 @@ def extract(pages: DataFrame, *, model: bytes | None = None, threshold: float =
             out, at = [], 0
             while at < len(read):
                 stop, n = at, 0
-                while stop < len(read) and (stop == at or n + len(read[stop]) <= CHUNK * 8):
+                while stop < len(read) and (stop == at or n + len(read[stop]) <= 2 * CHUNK):
                     n += len(read[stop])
                     stop += 1
                 some = read[at:stop]
-                out += [main_text(b, p, threshold) for b, p in zip(some, net.probabilities([inputs(b) for b in some]))]
+                out += [main_text(b, p, threshold) for b, p in zip(some, net.probabilities(some))]
                 at = stop
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -79,7 +79,7 @@ class Writer:
                     tag = r.choice(["p", "div", "li"])
                     self.out.append(r.choice(["", "", '<div class="comment">']))
                     shut = bool(self.out[-1])
-                    self.block(tag, self.words(r.choice([3, 8, 20, 50])), False)
+                    self.block(tag, self.words(r.choice([3, 8, 20, 50, r.randint(50, 250)])), False)
                     self.out.append("</div>" if shut else "")
             elif r.random() < 0.5:
                 self.bare(("© " if kind == "footer" else "") + self.words(r.randint(2, 25)))
@@ -87,7 +87,7 @@ class Writer:
                 if kind in ("aside", "header") and r.random() < 0.6:
                     self.block(r.choice(["h2", "h3", "h4", "div"]), self.words(2), False)
                 for _ in range(r.randint(1, 4)):
-                    self.block(r.choice(["p", "div", "li", "p"]), self.words(r.choice([2, 6, 15, 40])), False, kind == "aside" and r.random() < 0.6)
+                    self.block(r.choice(["p", "div", "li", "p"]), self.words(r.choice([2, 6, 15, 40, r.randint(40, 200)])), False, kind == "aside" and r.random() < 0.6)
 
         self.boxed(r.choice(SIDE[kind]), fill)
 
@@ -103,7 +103,7 @@ class Writer:
             for _ in range(r.choice([1, 2, 3, 5, 8, 13, 25])):
                 u = r.random()
                 if u < 0.75:
-                    self.block("p", self.words(r.choice([1, 2, 5, 20, 40, 80])), True, r.random() < 0.02)
+                    self.block("p", self.words(r.choice([1, 2, 5, 20, 40, 80, 80, r.randint(80, 400)])), True, r.random() < 0.02)
                 elif u < 0.83:
                     self.block(r.choice(["h2", "h3", "h4"]), self.words(r.randint(1, 6)), True)
                 elif u < 0.89:
@@ -142,18 +142,18 @@ class Writer:
         return "".join(self.out), np.array(self.labels, np.float32)
 
 
-def samples(n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def samples(n: int, seed: int) -> list[tuple[list, np.ndarray]]:
     out = []
     for i in range(n):
         text, labels = Writer(random.Random(seed * 1_000_003 + i)).page()
         page = blocks(text)
         if len(page) == len(labels) and page:
-            out.append((inputs(page), labels))
+            out.append((page, labels))
     return out
 
 
 def train(pages: int = 6000, rounds: int = 6, rate: float = 4e-3, seed: int = 1) -> Labeller:
-    net, data = Labeller(), samples(pages, seed)
+    net, data = Labeller(), [(inputs(page), labels) for page, labels in samples(pages, seed)]
     rng = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.w.items()}
     v = {k: np.zeros_like(x) for k, x in net.w.items()}
