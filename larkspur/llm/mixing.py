@@ -59,6 +59,9 @@ def exponent(shares: DataFrame, *, entropy_ratio: float | None, max_repeats: flo
     return flat
 
 
+ADDED = ("mix_tokens", "mix_epoch", "mix_block")
+
+
 def mix(
     docs: DataFrame,
     *,
@@ -87,14 +90,16 @@ def mix(
     left out.  Rows that repeat an id are used alike.  Columns of docs named
     mix_... are replaced.  An empty table gives an empty table.
     """
-    docs = docs.drop("mix_tokens", "mix_epoch", "mix_block")
+    docs = docs.drop(*ADDED)
+    given, (id_col, text_col, source_col) = docs.columns, (f"c{docs.columns.index(c)}" for c in (id_col, text_col, source_col))
+    docs = docs.toDF(*[f"c{i}" for i in range(len(given))])  # no name can clash with those used here
     n_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
     light = cut(docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), n_words.alias("__n")))
     totals = light.groupBy("__source").agg(F.sum("__n").alias("t"), F.count("*").alias("docs")).filter("t > 0")
     all_tokens = totals.agg(F.sum("t")).first()[0]
     names = docs.columns
     if not all_tokens:
-        return docs.select(*names, F.lit(0).cast("long").alias("mix_tokens"), F.lit(0).alias("mix_epoch"), F.lit(0).cast("long").alias("mix_block")).filter(F.lit(False))
+        return docs.select(*names, F.lit(0).cast("long").alias("mix_tokens"), F.lit(0).alias("mix_epoch"), F.lit(0).cast("long").alias("mix_block")).filter(F.lit(False)).toDF(*given, *ADDED)
     shares = cut(totals.withColumn("p", F.col("t") / F.lit(float(all_tokens))))
     sized = F.broadcast if shares.count() <= SMALL else lambda df: df
     a = exponent(shares, entropy_ratio=entropy_ratio, max_repeats=max_repeats, budget_ratio=budget_ratio)
@@ -127,9 +132,10 @@ def mix(
     used = used.withColumn("__u", unit_hash(seed, F.col("__epoch"), F.col(id_col)))
     used = used.filter((F.col("__epoch") < F.col("__full")) | (F.col("__u") < F.col("__stop")))
     place = (F.col("__epoch") + F.col("__u")) * F.col("__t") / F.greatest(F.col("__budget"), F.lit(1))
-    return used.select(
+    used = used.select(
         *names,
         n_words.alias("mix_tokens"),
         F.col("__epoch").cast("int").alias("mix_epoch"),
         F.least(F.floor(place * n_blocks), F.lit(n_blocks - 1)).cast("long").alias("mix_block"),
     )
+    return used.toDF(*given, *ADDED)

@@ -11,8 +11,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import cut, split_words, text_slices
+from .common import column, cut, split_words, text_slices
 from .substring_dedup import FILTER_BITS, _filter_bits, _passes
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -130,7 +131,7 @@ def _marks(bits):
         for batch in text_slices(batches):
             words, offsets = split_words(batch.column("text"))
             enc = words.dictionary_encode()
-            terms = [term_of(w) for w in enc.dictionary.to_pylist()]
+            terms = [term_of(w) for w in enc.dictionary.to_numpy(zero_copy_only=False)]
             h = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in terms), np.uint64, len(terms))
             passing = np.asarray(_passes(bits.value, h), bool)
             known = {t for t, ok in zip(terms, passing.tolist()) if ok}
@@ -153,7 +154,7 @@ def _frequencies(bits):
         for batch in text_slices(batches):
             words, offsets = split_words(batch.column("text"))
             enc = words.dictionary_encode()
-            terms = [term_of(w) for w in enc.dictionary.to_pylist()]
+            terms = [term_of(w) for w in enc.dictionary.to_numpy(zero_copy_only=False)]
             h = np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in terms), np.uint64, len(terms))
             names = {}
             code = np.array([names.setdefault(t, len(names)) if ok else -1 for t, ok in zip(terms, _passes(bits.value, h).tolist())], np.int64)
@@ -222,10 +223,18 @@ def count_kind(spans, kind: str) -> F.Column:
 
 
 def sanitise(docs: DataFrame, found: DataFrame, *, remove: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span of `found` generalised to its kind's placeholder, or removed.  Where spans overlap, the first counts."""
+    """docs with every span of `found` generalised to its kind's placeholder, or removed.  Where spans overlap, the first counts.
+
+    A null text becomes ''.  Rows are matched by id, null ids with each other;
+    ids without spans keep their texts.  Of several span lists under one id any
+    one is taken, so rows that share an id must share their text.  All columns
+    stay, whatever their names.
+    """
     names = [c for c in docs.columns if c != text_col]
-    joined = docs.join(found.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans")), F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    flat = joined.select(F.struct(*names).alias("row"), F.col(text_col).alias("text"), F.col("__spans").alias("spans"))
+    row = F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(names)]).alias("row")
+    flat = docs.select(row, column(text_col).alias("text"), column(id_col).alias("id"))
+    spans = found.dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("of"), "spans")
+    flat = flat.join(spans, F.col("id").eqNullSafe(F.col("of")), "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -239,5 +248,5 @@ def sanitise(docs: DataFrame, found: DataFrame, *, remove: bool = False, id_col:
                 out.append("".join([*parts, text[at:]]))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "text"])
 
-    done = flat.mapInArrow(run, f"row {flat.schema['row'].dataType.simpleString()}, text string")
-    return done.select(*[(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
+    done = flat.mapInArrow(run, StructType([flat.schema["row"], StructField("text", StringType())]))
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[f"c{names.index(c)}"].alias(c) for c in docs.columns])

@@ -98,10 +98,11 @@ def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_c
     Each row counts by itself, whether its id is null or repeated.  The row of
     the smallest id stays, null ids last; of those that share it, any one row.
     """
+    given, (id_col, text_col) = docs.columns, (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "keep-one")
-    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    docs.toDF(*[f"c{i}" for i in range(len(given))]).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
     own = spark.read.parquet(path)
-    found = classes(own.select(F.col("__row").alias("row"), F.col(text_col).alias("text")), shingle=shingle, similarity=similarity)
-    rank = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__row"))
-    chosen = own.select("__row", id_col).join(found, F.col("__row") == F.col("row")).groupBy("component").agg(F.min_by("__row", rank).alias("__row"))
-    return own.join(chosen.select("__row"), "__row").select(*docs.columns)
+    found = classes(own.select("row", F.col(text_col).alias("text")), shingle=shingle, similarity=similarity)
+    rank = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("row"))
+    chosen = own.select("row", id_col).join(found, "row").groupBy("component").agg(F.min_by("row", rank).alias("row"))
+    return own.join(chosen.select("row"), "row").drop("row").toDF(*given)
