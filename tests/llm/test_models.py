@@ -124,7 +124,7 @@ def test_gradients_are_right():
     for k in net.w:
         net.w[k] = net.w[k].astype(np.float64)
     data = html_training.samples(6, 3)[:3]
-    xs, ys = [x for x, _ in data], [y for _, y in data]
+    xs, ys = [html_blocks.inputs(x) for x, _ in data], [y for _, y in data]
     _, g = net.gradients(xs, ys)
     rng = np.random.default_rng(0)
     for k, w in net.w.items():
@@ -246,3 +246,76 @@ def test_an_omitted_head_end_tag_hides_nothing():
     for head in ("<head><title>T</title><meta charset=utf-8><body>", "<head><title>T</title>", "<head><style>x</style><noscript><link href=a></noscript>", "<head><title>T</title></head><body>", "<head><template><p>hidden</p></template><body>"):
         assert [b[1] for b in blocks("<html>" + head + body)] == want, head
     assert [b[1] for b in blocks("<head><title>T</title>Bare words.<p>More.")] == ["Bare words.", "More."]
+
+
+def test_classifier_equals_a_plain_version(spark):
+    """EM over the votes of all rows and the scorer's training set, each by loops over rows."""
+    import pyarrow as pa
+    import xxhash
+    from pyspark.sql import functions as F
+
+    from larkspur.llm.quality_rules import fit_references
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", "text")
+    docs = docs.union(spark.createDataFrame([(None, None, None), (None, "en", "few words"), (7, "en", ""), (3, "en", "copy copy"), (3, "en", "copy copy")], docs.schema))
+    rows = docs.withColumn("key", F.xxhash64("doc_id", "lang", "text")).collect()
+    refs = fit_references(docs)
+    vote = lambda r: weak_labels.votes(weak_labels.measures(pa.array([r["text"] or ""], pa.large_string()), np.array([r["lang"]], object), refs))[0].astype(int)
+    seen = [tuple(vote(r)) for r in rows]
+    kinds = sorted(set(seen), key=lambda v: sum(x * 3**i for i, x in enumerate(v)))
+    model = weak_labels.LabelModel(np.array(kinds), np.array([seen.count(k) for k in kinds], float))
+    post = [float(model.posterior(np.array([v]))[0]) if words(r["text"]) else 0.0 for r, v in zip(rows, seen)]
+
+    def bag(text):
+        out, shapes, last = [], [], None
+        for w in words(text):
+            kind = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in w]
+            shape = "".join(c for i, c in enumerate(kind) if i == 0 or c != kind[i - 1])
+            out.append(xxhash.xxh3_64_intdigest(w) % (weak_labels.BUCKETS - 1) + 1)
+            shapes.append(0 if w == last else xxhash.xxh3_64_intdigest("shape " + shape) % (weak_labels.BUCKETS - 1) + 1)
+            last = w
+        return np.array(out + shapes, np.int64)
+
+    able = sorted({(r["key"], r["doc_id"] or 0): i for i, r in enumerate(rows) if words(r["text"])}.items())[:50]
+    w, b = weak_labels.train([bag(rows[i]["text"]) for _, i in able], np.array([post[i] for _, i in able]))
+    score = [float(1 / (1 + np.exp(-(w[x].sum() / (len(x) / 2) + b)))) if len(x) else 0.0 for x in (bag(r["text"]) for r in rows)]
+    got = sorted(((r["doc_id"] or -1, r["posterior"], r["score"], r["kept"]) for r in weak_labels.classify(docs, training_rows=50).collect()))
+    want = sorted((r["doc_id"] or -1, p, s, bool(words(r["text"])) and s >= 0.5) for r, p, s in zip(rows, post, score))
+    assert len(got) == len(want)
+    for x, y in zip(got, want):
+        assert x[0] == y[0] and abs(x[1] - y[1]) < 1e-9 and abs(x[2] - y[2]) < 1e-6 and x[3] == y[3]
+
+
+def test_malformed_markup_is_read():
+    from larkspur.llm.html_blocks import blocks
+
+    assert [b[1] for b in blocks("<p>before<![foo[ x > after<p>then<svg><text>drawn</text></svg> end<p><object>inner</object><math><mi>x</mi></math>")] == ["before after", "thendrawn end", "innerx"]
+    rng = np.random.default_rng(5)
+    bits = ["<![foo[", "<![", "<!", "<!--", "-->", "<div", "<p>", ">", "</", "</p>", '<a href="', '"', "'", "&#", "&amp;", "&#x", "text ", "<?", "<script>", "</script>", "<svg>", "]]>", "<![CDATA[", "<title", "<head>", "<body>", "<template>", "</template>", "=", "/>", "<!DOCTYPE", "\0", "é"]
+    for _ in range(3000):
+        blocks("".join(rng.choice(bits, rng.integers(1, 30))))
+
+
+def test_long_pages_and_long_blocks(spark):
+    words_ = " ".join(f"wordly{i}, thing." for i in range(30000))
+    many = "".join(f"<p>Some plain words of block {i}, and a few more of them here.</p>" for i in range(12000))
+    deep = "<div>" * 20000 + "deep" + "</p>" * 20000
+    rows = [(1, "u", f"<article><h1>Title here</h1><p>{words_}</p></article>", 7), (2, "u", f"<article>{many}</article>", 7), (3, "u", deep, 7), (4, "u", "<![foo[ x", 7)]
+    got = {r["page_id"]: r["text"] for r in html_blocks.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")).collect()}
+    assert got[1] == "Title here\n\n" + words_
+    assert got[2].count("\n\n") == 11999
+
+
+def test_a_page_written_by_hand():
+    page = """<!doctype html><html lang=en><head><meta charset=utf-8><title>T</title><script>var a = "<p>no</p>";</script></head><body>
+    <header class="site-header"><a href="/">Daily Courier</a></header><nav><ul><li><a href="/w">World</a><li><a href="/s">Sport</a></ul></nav>
+    <div class="cookie-banner">We use cookies. <button>Accept</button></div>
+    <main><article><h1>River path opens again</h1><p>The path along the river opened again on Monday, after two years of work.
+    <p>Walkers &amp; cyclists may use it by day.<ul><li>Open from eight to six.<li>Dogs on a lead.</ul><div class="ad">Buy boots now</div><blockquote>It was worth it, said the mayor.</blockquote></article></main>
+    <aside class="related"><h3>More</h3><a href="/x">Bridge closed</a></aside><section id="comments"><h3>2 comments</h3><div class="comment"><p>At last, I say!</p></div></section>
+    <form action="/q"><label>Search</label><input><select><option>All</option></select></form><footer>&copy; 2024 Daily Courier. All rights reserved.</footer></body></html>"""
+    net = html_blocks.Labeller.load(html_blocks.model_bytes())
+    read = html_blocks.blocks(page)
+    assert html_blocks.main_text(read, net.probabilities([read])[0]).split("\n\n") == [
+        "River path opens again", "The path along the river opened again on Monday, after two years of work.", "Walkers & cyclists may use it by day.", "Open from eight to six.", "Dogs on a lead.", "It was worth it, said the mayor.",
+    ]

@@ -5,7 +5,7 @@ import numpy as np
 
 from .fixtures import words
 from .test_models import plain_mix
-from .test_text_operators import plain_base, plain_classes, plain_fingerprint, plain_kept, plain_lines
+from .test_text_operators import plain_base, plain_kept, plain_lines, plain_similar
 
 
 def tuples(df):
@@ -33,7 +33,7 @@ def test_each_stage_equals_its_plain_version(spark, sf_dir, tmp_path):
     assert sorted(r[:2] for r in tuples(stages[1][1])) == [r[:2] for r in plain_lines(tuples(stages[1][0]), 10)]
     # near-duplicates
     rows = tuples(stages[2][0])
-    classes = plain_classes({r[0]: plain_fingerprint(r[1], 3) for r in rows}, 3)
+    classes = plain_similar(rows, 0.8)
     assert sorted(tuples(stages[2][1])) == sorted(r for r in rows if classes[r[0]] == r[0])
     # mixing
     rows = tuples(stages[3][0])

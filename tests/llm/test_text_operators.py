@@ -50,12 +50,14 @@ def test_runs_are_levelled_and_known_lines_are_not_added(spark):
     runs.add(batch("a", "a", "a", "b"))
     runs.add(batch("a", "a", "b", "c"))
     assert [len(x) for x in runs.levels] == [0, 1]
-    merged = spark.read.parquet(runs.levels[1][0])
+    merged = runs._open(runs.levels[1][0])
     assert sorted(r["n"] for r in merged.collect()) == [1, 2, 3]  # the second batch's a was known
     again = line_dedup.LineRuns(spark, min_docs=3, fanout=2, root=runs.root)  # a new driver goes on where the old one stopped
     assert again.levels == runs.levels and again.batches == 2
     again.add(batch("b"))
     assert again.frequent().count() == 2
+    plan = runs._merged(runs.levels[1] * 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # runs are read by their buckets
 
 
 # substring dedup
@@ -327,3 +329,45 @@ def test_contract_query_digests(spark, sf_dir):
         text = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)
         assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
         assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(s[1] == k for s in spans) for k in range(4)]
+
+
+def test_references_are_exact_however_rows_are_dealt(spark):
+    r = random.Random(9)
+    zipf = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(r.choices(zipf, [1 / (k + 1) for k in range(300)], k=400)), "en", "s", 1, 1) for i in range(80)]
+    rows += [(100 + i, " ".join(f"flat{r.randrange(4000)}" for _ in range(600)), "fl", "s", 1, 1) for i in range(40)]  # no word is one in 2000
+    rows += [(200, "null language", None, "s", 1, 1), (201, "", "", "s", 1, 1), (202, "empty language", "", "s", 1, 1)]
+    want = {}
+    for lang in ("en", "fl", None, ""):
+        n = Counter(w for x in rows if x[2] == lang for w in words(x[1]))
+        want[lang] = sorted(n.items(), key=lambda x: (-x[1], x[0]))[:40]
+    for parts in (1, 64):
+        refs = quality_rules.fit_references(frame(spark, rows).repartition(parts))
+        assert {k: list(zip(v["words"], v["counts"])) for k, v in refs.items()} == want
+        few = quality_rules.fit_references(frame(spark, rows).repartition(parts), most=3)  # every language by the full count
+        assert {k: v["words"] for k, v in few.items()} == {k: [w for w, _ in v] for k, v in want.items()}
+
+
+def test_odd_column_names_are_carried(spark):
+    rows = frame(spark).selectExpr("*", "1 as `my col`", "2 as `a.b`", "3 as `row`", "4 as `c0`")
+    got = quality_rules.quality_rules(rows, carry=True)
+    assert got.columns == [*rows.columns, "kept"]
+    assert {tuple(r[c] for c in ("my col", "a.b", "row", "c0")) for r in got.collect()} == {(1, 2, 3, 4)}
+    assert sorted((r["doc_id"], r["text"] or "", r["text"] is None) for r in got.collect()) == sorted((r[0], r[1] or "", r[1] is None) for r in edge_documents())
+
+
+def test_operators_on_whole_rows_take_any_column_name(spark):
+    from larkspur.llm import mixing
+
+    names = ["my col", "a.b", "__id", "__source", "__drop", "__row", "row", "c0", "u", "component"]
+    rows = frame(spark).selectExpr("*", *[f"{i} as `{c}`" for i, c in enumerate(names)])
+    for got, more in ((mixing.mix(rows), list(mixing.ADDED)), (line_dedup.dedup_lines(rows), ["n_lines", "n_dropped"]), (simhash.keep_one(rows), []), (pii.sanitise(rows, pii.find_personal_data(rows)), [])):
+        assert got.columns == rows.columns + more
+        assert {tuple(r[c] for c in names) for r in got.collect()} == {tuple(range(len(names)))}
+
+
+def test_very_long_digit_runs_and_texts(spark):
+    assert pii.base_spans(TEXTS[7]) == plain_spans(TEXTS[7]) == []
+    text = "word " * 200_000 + "a@b.example.com"
+    got = pii.find_personal_data(frame(spark, [(1, text, "en", "s", 1, 1), (2, None, "en", "s", 1, 1)])).collect()
+    assert {r["doc_id"]: [(s["start"], s["k"], s["end"]) for s in r["base"]] for r in got} == {1: [(1_000_000, 0, 1_000_015)], 2: []}
