@@ -48,7 +48,7 @@ MATH = {
     "LOG2": "log2({0})", "PI": "pi()", "PI_NUMERIC": "CAST('3.141592654' AS DECIMAL(38, 9))", "PI_BIGNUMERIC": "CAST('3.14159265358979323846264338327950288420' AS DECIMAL(38, 37))", "POW": "pow({0}, {1})", "POWER": "pow({0}, {1})", "RAND": "rand()",
     "SQRT": _guard("{0} < 0", "sqrt({0})", "SQRT: argument must not be negative"), "IEEE_DIVIDE": "(CASE WHEN double({1}) <> 0 THEN double({0}) / double({1}) WHEN {1} IS NULL OR {0} IS NULL THEN NULL WHEN {0} = 0 OR isnan(double({0})) THEN double('NaN') WHEN {0} > 0 THEN double('Infinity') ELSE double('-Infinity') END)",
     "IS_INF": "(abs(double({0})) = double('Infinity'))", "IS_NAN": "isnan(double({0}))", "ROUND": ("round({0})", "round({0}, int({1}))"),
-    "TRUNC": ("(sign({0}) * floor(abs({0})))", "(sign({0}) * floor(abs({0}) * pow(10, {1})) / pow(10, {1}))"), "TRUNCATE": "(sign({0}) * floor(abs({0}) * pow(10, {1})) / pow(10, {1}))",
+    "TRUNC": "(sign({0}) * floor(abs({0})))", "TRUNCATE": "(sign({0}) * floor(abs({0})))",
     "SAFE_ADD": "try_add({0}, {1})", "SAFE_SUBTRACT": "try_subtract({0}, {1})", "SAFE_MULTIPLY": "try_multiply({0}, {1})", "SAFE_DIVIDE": "try_divide({0}, {1})", "SAFE_NEGATE": "try_subtract(0L, {0})",
     "RANGE_BUCKET": "if({0} IS NULL OR {1} IS NULL, NULL, bigint(size(filter({1}, __b -> __b <= {0}))))", "DEGREES": "degrees({0})", "RADIANS": "radians({0})",
     "COSINE_DISTANCE": "(1D - aggregate(zip_with({0}, {1}, (__x, __y) -> double(__x) * double(__y)), 0D, (__s, __v) -> __s + __v) / (sqrt(aggregate({0}, 0D, (__s, __v) -> __s + double(__v) * double(__v))) * sqrt(aggregate({1}, 0D, (__s, __v) -> __s + double(__v) * double(__v)))))",
@@ -58,6 +58,8 @@ MATH = {
 for _n in ("COSINE_DISTANCE", "EUCLIDEAN_DISTANCE", "DOT_PRODUCT"):
     MATH["APPROX_" + _n] = MATH[_n]
 
+#: Unicode white space.
+BLANKS = "\\t\\n\\u000b\\u000c\\r \\u0085\\u00a0\\u1680" + "".join(f"\\u{x:04x}" for x in range(0x2000, 0x200B)) + "\\u2028\\u2029\\u202f\\u205f\\u3000"
 _QUOTED = "concat('\\\\Q', {1}, '\\\\E')"
 STRING = {
     "ASCII": "bigint(if({0} = '', 0, ascii({0})))", "UNICODE": "bigint(if({0} = '', 0, ascii({0})))", "BYTE_LENGTH": "bigint(octet_length({0}))", "OCTET_LENGTH": "bigint(octet_length({0}))", "CHAR_LENGTH": "bigint(char_length({0}))", "CHARACTER_LENGTH": "bigint(char_length({0}))", "LENGTH": "bigint(length({0}))",
@@ -66,7 +68,7 @@ STRING = {
     "EDIT_DISTANCE": ("bigint(levenshtein({0}, {1}))", "bigint(least(levenshtein({0}, {1}), {2}))"), "ENDS_WITH": "endswith({0}, {1})", "STARTS_WITH": "startswith({0}, {1})", "FROM_BASE64": "unbase64({0})", "TO_BASE64": "base64({0})", "FROM_HEX": "unhex({0})", "TO_HEX": "lower(hex({0}))",
     "INSTR": ("bigint(instr({0}, {1}))", "bigint(if({2} > 0, locate({1}, {0}, int({2})), lk_instr({0}, {1}, {2}, 1L)))", "lk_instr({0}, {1}, {2}, {3})"), "STRPOS": "bigint(instr({0}, {1}))", "LEFT": _guard("{1} < 0", "left({0}, int({1}))", "LEFT: length must not be negative"),
     "RIGHT": _guard("{1} < 0", "right({0}, int({1}))", "RIGHT: length must not be negative"), "LOWER": "lower({0})", "UPPER": "upper({0})", "LCASE": "lower({0})", "UCASE": "upper({0})", "LPAD": ("lpad({0}, int({1}))", "lpad({0}, int({1}), {2})"), "RPAD": ("rpad({0}, int({1}))", "rpad({0}, int({1}), {2})"),
-    "LTRIM": ("ltrim({0})", "ltrim({1}, {0})"), "RTRIM": ("rtrim({0})", "rtrim({1}, {0})"), "TRIM": ("lk_trim({0})", "btrim({0}, {1})"), "NORMALIZE": ("lk_normalize({0}, 'NFC', false)", "lk_normalize({0}, {1}, false)"), "NORMALIZE_AND_CASEFOLD": ("lk_normalize({0}, 'NFC', true)", "lk_normalize({0}, {1}, true)"),
+    "LTRIM": (f"ltrim('{BLANKS}', {{0}})", "ltrim({1}, {0})"), "RTRIM": (f"rtrim('{BLANKS}', {{0}})", "rtrim({1}, {0})"), "TRIM": (f"btrim({{0}}, '{BLANKS}')", "btrim({0}, {1})"), "NORMALIZE": ("lk_normalize({0}, 'NFC', false)", "lk_normalize({0}, {1}, false)"), "NORMALIZE_AND_CASEFOLD": ("lk_normalize({0}, 'NFC', true)", "lk_normalize({0}, {1}, true)"),
     "REGEXP_CONTAINS": "({0} RLIKE {1})", "REGEXP_MATCH": "({0} RLIKE concat('^(?:', {1}, ')$'))", "REGEXP_LIKE": "({0} RLIKE {1})",
     "REGEXP_EXTRACT_ALL": "if({0} IS NULL OR {1} IS NULL, NULL, regexp_extract_all({0}, {1}, {g}))", "REPEAT": _guard("{1} < 0", "repeat({0}, int({1}))", "REPEAT: count must not be negative"), "REPLACE": "if({1} = '', {0}, replace({0}, {1}, {2}))", "REVERSE": "reverse({0})",
     "SAFE_CONVERT_BYTES_TO_STRING": "make_valid_utf8(CAST({0} AS STRING))", "SOUNDEX": "soundex({0})", "SPLIT": ("split({0}, ',')", f"if({{1}} = '', if({{0}} = '', array(''), filter(split({{0}}, ''), __c -> __c <> '')), split({{0}}, {_QUOTED}))"),
@@ -102,14 +104,13 @@ DATES = {
     "ADDDATE": "date_add({0}, int({1}))", "SUBDATE": "date_sub({0}, int({1}))", "DAY": "bigint(day({0}))", "DAYOFMONTH": "bigint(day({0}))", "DAYOFWEEK": "bigint(dayofweek({0}))", "DAYOFYEAR": "bigint(dayofyear({0}))", "DAYNAME": "date_format({0}, 'EEEE')", "MONTHNAME": "date_format({0}, 'MMMM')", "HOUR": "bigint(hour({0}))", "MINUTE": "bigint(minute({0}))", "SECOND": "bigint(second({0}))", "MICROSECOND": "bigint(unix_micros(timestamp({0})) % 1000000)", "MONTH": "bigint(month({0}))", "QUARTER": "bigint(quarter({0}))", "YEAR": "bigint(year({0}))", "WEEKDAY": "bigint(weekday({0}))", "WEEKOFYEAR": "bigint(weekofyear({0}))",
     "MAKEDATE": "date_add(make_date(int({0}), 1, 1), int({1}) - 1)", "TO_DAYS": "bigint(unix_date(date({0})) + 719528)", "FROM_DAYS": "date_from_unix_date(int({0} - 719528))", "TO_SECONDS": "((unix_date(date({0})) + 719528L) * 86400L + unix_seconds(timestamp({0})) % 86400L)", "PERIOD_ADD": "bigint(floor((({0} div 100) * 12 + {0} % 100 - 1 + {1}) / 12) * 100 + pmod(({0} div 100) * 12 + {0} % 100 - 1 + {1}, 12) + 1)", "PERIOD_DIFF": "((({0} div 100) * 12 + {0} % 100) - (({1} div 100) * 12 + {1} % 100))",
     "UNIX_TIMESTAMP": ("unix_seconds(now())", "unix_seconds(timestamp({0}))"), "FROM_UNIXTIME": "timestamp_seconds({0})", "UTC_DATE": "current_date()", "UTC_TIMESTAMP": "localtimestamp()", "SYSDATE": "localtimestamp()", "NOW": "now()", "LOCALTIME": "localtimestamp()", "LOCALTIMESTAMP": "localtimestamp()", "PENDING_COMMIT_TIMESTAMP": "current_timestamp()", "DATEDIFF": "bigint(datediff({0}, {1}))",
-    "JUSTIFY_HOURS": "{0}", "JUSTIFY_DAYS": "{0}", "JUSTIFY_INTERVAL": "{0}",
 }
 
 JSON = {
-    "PARSE_JSON": "parse_json({0})", "TO_JSON": "to_variant_object({0})", "TO_JSON_STRING": "lk_json_text({0})", "JSON_TYPE": "(CASE WHEN is_variant_null({0}) THEN 'null' ELSE (CASE WHEN schema_of_variant({0}) LIKE 'OBJECT%' THEN 'object' WHEN schema_of_variant({0}) LIKE 'ARRAY%' THEN 'array' WHEN schema_of_variant({0}) = 'STRING' THEN 'string' WHEN schema_of_variant({0}) = 'BOOLEAN' THEN 'boolean' ELSE 'number' END) END)",
+    "PARSE_JSON": "parse_json({0})", "TO_JSON": "to_variant_object({0})", "JSON_TYPE": "(CASE WHEN is_variant_null({0}) THEN 'null' ELSE (CASE WHEN schema_of_variant({0}) LIKE 'OBJECT%' THEN 'object' WHEN schema_of_variant({0}) LIKE 'ARRAY%' THEN 'array' WHEN schema_of_variant({0}) = 'STRING' THEN 'string' WHEN schema_of_variant({0}) = 'BOOLEAN' THEN 'boolean' ELSE 'number' END) END)",
     "INT64": "variant_get({0}, '$', 'bigint')", "FLOAT64": "variant_get({0}, '$', 'double')", "DOUBLE": "variant_get({0}, '$', 'double')", "FLOAT32": "variant_get({0}, '$', 'float')", "FLOAT": "variant_get({0}, '$', 'float')", "INT32": "variant_get({0}, '$', 'int')", "UINT32": "variant_get({0}, '$', 'bigint')", "UINT64": "variant_get({0}, '$', 'decimal(20,0)')", "BOOL": "variant_get({0}, '$', 'boolean')",
     "LAX_INT64": "try_variant_get({0}, '$', 'bigint')", "LAX_FLOAT64": "try_variant_get({0}, '$', 'double')", "LAX_DOUBLE": "try_variant_get({0}, '$', 'double')", "LAX_BOOL": "try_variant_get({0}, '$', 'boolean')", "LAX_STRING": "try_variant_get({0}, '$', 'string')", "LAX_INT32": "try_variant_get({0}, '$', 'int')", "LAX_UINT32": "try_variant_get({0}, '$', 'bigint')", "LAX_UINT64": "try_variant_get({0}, '$', 'decimal(20,0)')", "LAX_FLOAT": "try_variant_get({0}, '$', 'float')",
-    "JSON_KEYS": "json_object_keys(to_json({0}))", "JSON_QUOTE": "lk_json_text({0})", "JSON_UNQUOTE": "variant_get(parse_json({0}), '$', 'string')",
+    "JSON_KEYS": "json_object_keys(to_json({0}))", "JSON_UNQUOTE": "variant_get(parse_json({0}), '$', 'string')",
 }
 for _name, _type in {"INT64": "bigint", "FLOAT64": "double", "DOUBLE": "double", "FLOAT32": "float", "FLOAT": "float", "INT32": "int", "UINT32": "bigint", "UINT64": "decimal(20,0)", "BOOL": "boolean", "STRING": "string"}.items():
     JSON[f"{_name}_ARRAY"] = f"CAST({{0}} AS ARRAY<{_type}>)"
@@ -118,7 +119,7 @@ for _name, _type in {"INT64": "bigint", "FLOAT64": "double", "DOUBLE": "double",
 NET = {
     "NET.HOST": "lk_net_host({0})", "NET.PUBLIC_SUFFIX": "lk_net_suffix({0})", "NET.REG_DOMAIN": "lk_net_domain({0})", "NET.IP_FROM_STRING": "lk_ip_from_string({0}, false)", "NET.SAFE_IP_FROM_STRING": "lk_ip_from_string({0}, true)", "NET.IP_TO_STRING": "lk_ip_to_string({0})", "NET.IP_NET_MASK": "lk_ip_mask({0}, {1})", "NET.IP_TRUNC": "lk_ip_trunc({0}, {1})", "NET.IPV4_FROM_INT64": "unhex(lpad(hex(pmod({0}, 4294967296L)), 8, '0'))", "NET.IPV4_TO_INT64": "bigint(conv(hex({0}), 16, 10))", "NET.IP_IN_NET": "lk_ip_in_net({0}, {1})", "NET.FORMAT_IP": "lk_ip_to_string(unhex(lpad(hex({0}), 8, '0')))", "NET.PARSE_IP": "bigint(conv(hex(lk_ip_from_string({0}, false)), 16, 10))", "NET.FORMAT_PACKED_IP": "lk_ip_to_string({0})", "NET.PARSE_PACKED_IP": "lk_ip_from_string({0}, false)", "NET.MAKE_NET": "concat(lk_ip_to_string(lk_ip_trunc(lk_ip_from_string({0}, false), {1})), '/', {1})",
     "INET_ATON": "bigint(conv(hex(lk_ip_from_string({0}, true)), 16, 10))", "INET_NTOA": "lk_ip_to_string(unhex(lpad(hex({0}), 8, '0')))", "INET6_ATON": "lk_ip_from_string({0}, true)", "INET6_NTOA": "lk_ip_to_string({0})", "IS_IPV4": "coalesce(octet_length(lk_ip_from_string({0}, true)) = 4, false)", "IS_IPV6": "coalesce(octet_length(lk_ip_from_string({0}, true)) = 16, false)", "IS_IPV4_COMPAT": "coalesce(hex({0}) RLIKE '^0{24}(?!0000000[01]$)', false)", "IS_IPV4_MAPPED": "coalesce(hex({0}) RLIKE '^0{20}FFFF', false)",
-    "IS_UUID": "({0} RLIKE '^[{]?[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}[}]?$')", "UUID_TO_BIN": "unhex(replace({0}, '-', ''))", "BIN_TO_UUID": "lower(concat_ws('-', substring(hex({0}), 1, 8), substring(hex({0}), 9, 4), substring(hex({0}), 13, 4), substring(hex({0}), 17, 4), substring(hex({0}), 21)))",
+    "IS_UUID": "({0} RLIKE '^[{]?[0-9a-fA-F]{08}-?[0-9a-fA-F]{04}-?[0-9a-fA-F]{04}-?[0-9a-fA-F]{04}-?[0-9a-fA-F]{12}[}]?$')", "UUID_TO_BIN": "unhex(replace({0}, '-', ''))", "BIN_TO_UUID": "lower(concat_ws('-', substring(hex({0}), 1, 8), substring(hex({0}), 9, 4), substring(hex({0}), 13, 4), substring(hex({0}), 17, 4), substring(hex({0}), 21)))",
 }
 
 RANGES = {
@@ -126,7 +127,10 @@ RANGES = {
     "RANGE": "named_struct('start', {0}, 'end', if({0} >= {1}, raise_error('RANGE: start must be before end'), {1}))",
     "RANGE_OVERLAPS": "(coalesce(({0}).start < ({1}).end, true) AND coalesce(({1}).start < ({0}).end, true))",
     "RANGE_INTERSECT": "named_struct('start', greatest(({0}).start, ({1}).start), 'end', if(greatest(({0}).start, ({1}).start) >= least(({0}).end, ({1}).end), raise_error('RANGE_INTERSECT: the ranges are disjoint'), least(({0}).end, ({1}).end)))",
-    "GENERATE_RANGE_ARRAY": "transform(sequence(({0}).start, ({0}).end - {1}, {1}), __d -> named_struct('start', __d, 'end', least(__d + {1}, ({0}).end)))",
+    "GENERATE_RANGE_ARRAY": (
+        "transform(filter(sequence(({0}).start, ({0}).end, {1}), __d -> __d < ({0}).end), __d -> named_struct('start', __d, 'end', least(__d + {1}, ({0}).end)))",
+        "transform(filter(sequence(({0}).start, ({0}).end, {1}), __d -> __d < ({0}).end AND ({2} OR __d + {1} <= ({0}).end)), __d -> named_struct('start', __d, 'end', least(__d + {1}, ({0}).end)))",
+    ),
 }
 
 SKETCHES = {
@@ -165,7 +169,7 @@ SCALARS = MATH | STRING | ARRAY | HASH | CONDITIONAL | DATES | JSON | NET | RANG
 #: SAFE.f(...) where f can raise.
 SAFE = {
     "LN": "if({0} <= 0, NULL, ln({0}))", "LOG": "if({0} <= 0, NULL, ln({0}))", "LOG10": "if({0} <= 0, NULL, log10({0}))", "SQRT": "if({0} < 0, NULL, sqrt({0}))", "DIV": "if({1} = 0, NULL, {0} div {1})", "MOD": "try_mod({0}, {1})", "ACOS": "if(abs({0}) > 1, NULL, acos({0}))", "ASIN": "if(abs({0}) > 1, NULL, asin({0}))", "COT": "if({0} = 0, NULL, cot({0}))", "CSC": "if({0} = 0, NULL, csc({0}))", "ATANH": "if(abs({0}) >= 1, NULL, atanh({0}))", "ACOSH": "if({0} < 1, NULL, acosh({0}))",
-    "SUBSTR": ("(CASE WHEN {1} < 0 AND -{1} > length({0}) THEN {0} ELSE substring({0}, int({1})) END)", "if({2} < 0, NULL, substring({0}, int(if({1} = 0, 1, {1})), int({2})))"), "LEFT": "if({1} < 0, NULL, left({0}, int({1})))", "RIGHT": "if({1} < 0, NULL, right({0}, int({1})))", "REPEAT": "if({1} < 0, NULL, repeat({0}, int({1})))", "PARSE_JSON": "try_parse_json({0})", "FROM_HEX": "try_to_binary({0}, 'hex')", "FROM_BASE64": "try_to_binary({0}, 'base64')", "ARRAY_FIRST": "try_element_at({0}, 1)", "ARRAY_LAST": "try_element_at({0}, -1)", "ERROR": "NULL",
+    "SUBSTR": ("(CASE WHEN {1} < 0 AND -{1} > length({0}) THEN {0} ELSE substring({0}, int({1})) END)", "if({2} < 0, NULL, substring({0}, int(if({1} = 0, 1, {1})), int({2})))"), "LEFT": "if({1} < 0, NULL, left({0}, int({1})))", "RIGHT": "if({1} < 0, NULL, right({0}, int({1})))", "REPEAT": "if({1} < 0, NULL, repeat({0}, int({1})))", "PARSE_JSON": "try_parse_json({0})", "FROM_HEX": "try_to_binary({0}, 'hex')", "FROM_BASE64": "try_to_binary({0}, 'base64')", "ARRAY_FIRST": "try_element_at({0}, 1)", "ARRAY_LAST": "try_element_at({0}, -1)", "ERROR": "nullif({0}, {0})",
     "INT64": "try_variant_get({0}, '$', 'bigint')", "FLOAT64": "try_variant_get({0}, '$', 'double')", "BOOL": "try_variant_get({0}, '$', 'boolean')", "EXP": "if({0} > 709.782712893384 AND {0} < double('Infinity'), NULL, exp({0}))", "NET.IP_FROM_STRING": "lk_ip_from_string({0}, true)", "RANGE": "if({0} >= {1}, NULL, named_struct('start', {0}, 'end', {1}))", "TIMESTAMP_SECONDS": "timestamp_seconds({0})",
 }
 SAFE["SUBSTRING"] = SAFE["SUBSTR"]

@@ -1,7 +1,8 @@
-"""MERGE as a full outer join and one rewrite of the target."""
+"""MERGE as one stored full outer join and one rewrite of the target."""
 
 from __future__ import annotations
 
+import uuid
 from typing import TYPE_CHECKING
 
 from pyspark.sql import functions as F
@@ -60,15 +61,20 @@ def merge(s: Session, d: dict) -> None:
     gone = [i for i, (kind, _) in enumerate(actions) if kind == "delete"]
     body = ", ".join(c.replace("__a = ", f"({case}) = ") for c in columns)
     df = s.spark.sql(f"SELECT {body}, ({case}) AS __action, {ident(alias)}.__rid AS __rid FROM {inner}")
-    # a target row that is matched but left alone appears once, whatever the number of its matches
-    kept = df.filter(F.col("__rid").isNull() & (F.col("__action") >= 0))
-    rows = df.filter(F.col("__rid").isNotNull()).groupBy("__rid").agg(
-        F.max_by(F.struct(*[F.col(ident(c)) for c in names], "__action"), "__action").alias("r"),
-        F.count_if(F.col("__action") >= 0).alias("k"),
-    )
-    rows = rows.filter(F.assert_true(F.col("k") < 2, F.lit("MERGE: a target row is changed by several source rows")).isNull())
-    rows = rows.select("r.*")
-    if gone:
-        rows = rows.filter(~F.col("__action").isin(gone))
+    # the one join is stored: row ids and actions are fixed, and the checks read two narrow columns of it
+    stage = f"{s.root}/merge-{uuid.uuid4().hex[:8]}"
+    df.write.parquet(stage)
+    staged = s.spark.read.parquet(stage)
+    met = staged.filter("__rid IS NOT NULL").groupBy("__rid").agg(F.count("*").alias("n"), F.count_if(F.col("__action") >= 0).alias("k")).filter("n > 1")
+    several, most = met.agg(F.count("*"), F.max("k")).first()
+    if several and most > 1:
+        raise ValueError("MERGE: a target row is changed by several source rows")
+    rows = staged.filter((F.col("__rid").isNotNull() | (F.col("__action") >= 0)) & ~F.col("__action").isin(gone or [-2]))
+    if several:  # a target row that is matched several times but changed once, or left alone, appears once
+        once = staged.join(met.select("__rid"), "__rid", "left_semi").groupBy("__rid").agg(F.max_by(F.struct(*[F.col(ident(c)) for c in names], "__action"), "__action").alias("r"))
+        once = once.select("r.*").filter(~F.col("__action").isin(gone or [-2]))
+        rows = rows.join(met.select("__rid"), "__rid", "left_anti").select(*map(ident, names)).unionByName(once.select(*map(ident, names)))
     s.done(low)
-    s.rewrite(t, rows.select(*map(ident, names)).unionByName(kept.select(*map(ident, names))))
+    s.rewrite(t, rows.select(*map(ident, names)))
+    path = s.spark._jvm.org.apache.hadoop.fs.Path(stage)
+    path.getFileSystem(s.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

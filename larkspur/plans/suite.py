@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from ..operators import text, time_series
 from ..sql.session import Session
+from . import function_suite
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-_sessions: dict[tuple[int, str], Session] = {}
+TABLES = function_suite.TABLES
+_sessions: dict[tuple[str, str], Session] = {}
 
 
 def session(spark: SparkSession, sf_dir: str) -> Session:
     """A session that reads the tables of sf_dir; one per Spark session and folder."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _sessions:
         s = _sessions[key] = Session(spark)
         for t in TABLES:
@@ -118,7 +119,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "cast_functions": ("SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT64) AS i, CAST(l_orderkey AS STRING) AS s, SAFE_CAST('x' AS INT64) AS n, CAST(l_shipdate AS DATE) AS d FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS i, CAST(l_orderkey AS VARCHAR) AS s, TRY_CAST('x' AS BIGINT) AS n, CAST(l_shipdate AS DATE) AS d FROM lineitem"),
     "vector_distance": ("SELECT a.vec_id AS a, b.vec_id AS b, ROUND(COSINE_DISTANCE(a.embedding, b.embedding), 5) AS c, ROUND(EUCLIDEAN_DISTANCE(a.embedding, b.embedding), 5) AS e FROM embeddings AS a JOIN embeddings AS b ON b.vec_id = a.vec_id + 1", "SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS c, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS e FROM embeddings AS a JOIN embeddings AS b ON b.vec_id = a.vec_id + 1"),
     "text_search": ("SELECT doc_id FROM documents WHERE SEARCH(text, 'the of')", "SELECT doc_id FROM documents WHERE list_has_all(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), ['the', 'of'])"),
-    "term_frequency": ("SELECT doc_id, term, COUNT(*) AS n FROM documents, UNNEST(TEXT_ANALYZE(text)) AS term WHERE lang = 'en' GROUP BY doc_id, term", "SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}\\p{Nl}\\p{No}]+')) AS term FROM documents WHERE lang = 'en') GROUP BY 1, 2"),
+    "term_frequency": ("SELECT doc_id, term, COUNT(*) AS n FROM documents, UNNEST(TEXT_ANALYZE(text)) AS term GROUP BY doc_id, term", "SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{Nd}\\p{Nl}\\p{No}]+')) AS term FROM documents) GROUP BY 1, 2"),
     "net_host": ("SELECT page_id, NET.HOST(url) AS h FROM pages", "SELECT page_id, nullif(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '') AS h FROM pages"),
     "conversation_turns": ("SELECT conv_id, STRING_AGG(role, '>' ORDER BY turn) AS roles, MAX(turn) AS last FROM conversations GROUP BY conv_id", "SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS roles, max(turn) AS last FROM conversations GROUP BY conv_id"),
     "hash_functions": ("SELECT c_custkey, TO_HEX(SHA256(c_name)) AS a, TO_HEX(MD5(c_name)) AS b, TO_BASE64(CAST(c_mktsegment AS BYTES)) AS c, TO_HEX(SHA1(c_name)) AS d FROM customer", "SELECT c_custkey, sha256(c_name) AS a, md5(c_name) AS b, base64(c_mktsegment::BLOB) AS c, sha1(c_name) AS d FROM customer"),
@@ -127,7 +128,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "date_arrays": ("SELECT c_custkey, ARRAY_LENGTH(GENERATE_DATE_ARRAY(DATE '2024-01-01', DATE_ADD(DATE '2024-01-01', INTERVAL MOD(c_custkey, 30) DAY), INTERVAL 7 DAY)) AS n FROM customer", "SELECT c_custkey, (c_custkey % 30) // 7 + 1 AS n FROM customer"),
     "week_parts": ("SELECT o_orderkey, DATE_DIFF(DATE(o_orderdate), DATE '1990-01-01', WEEK) AS w, DATE_DIFF(DATE(o_orderdate), DATE '1990-01-01', ISOWEEK) AS i, DATE_TRUNC(DATE(o_orderdate), ISOWEEK) AS t, EXTRACT(DAYOFYEAR FROM o_orderdate) AS y, EXTRACT(QUARTER FROM o_orderdate) AS q FROM orders", "SELECT o_orderkey, floor(date_diff('day', DATE '1970-01-04', o_orderdate::DATE) / 7)::BIGINT - floor(date_diff('day', DATE '1970-01-04', DATE '1990-01-01') / 7)::BIGINT AS w, date_diff('week', DATE '1990-01-01', o_orderdate::DATE) AS i, date_trunc('week', o_orderdate)::DATE AS t, dayofyear(o_orderdate) AS y, quarter(o_orderdate) AS q FROM orders"),
     "safe_functions": ("SELECT c_custkey, SAFE_CAST(SUBSTR(c_name, -2) AS INT64) AS a, SAFE_DIVIDE(1, MOD(c_custkey, 3)) AS b, IFERROR(CAST(c_mktsegment AS INT64), -1) AS c, SAFE.SQRT(c_acctbal) IS NULL AS d FROM customer", "SELECT c_custkey, TRY_CAST(right(c_name, 2) AS BIGINT) AS a, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 1.0 / (c_custkey % 3) END AS b, -1 AS c, c_acctbal < 0 AS d FROM customer"),
-    "text_tokens": ("SELECT doc_id, ARRAY_LENGTH(TEXT_ANALYZE(text)) AS n, ARRAY_LENGTH(BAG_OF_WORDS(TEXT_ANALYZE(SUBSTR(text, 1, 300)))) AS d FROM documents", "SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS n, len(list_distinct(regexp_extract_all(lower(substr(text, 1, 300)), '[\\p{L}\\p{N}]+'))) AS d FROM documents"),
+    "text_tokens": ("SELECT doc_id, ARRAY_LENGTH(TEXT_ANALYZE(text)) AS n, ARRAY_LENGTH(BAG_OF_WORDS(TEXT_ANALYZE(text))) AS d FROM documents", "SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS n, len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS d FROM documents"),
     "approx_count_distinct": ("SELECT APPROX_COUNT_DISTINCT(o_orderstatus) AS n FROM orders", "SELECT count(DISTINCT o_orderstatus) AS n FROM orders"),
 }
 
@@ -173,16 +174,17 @@ def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MERGE over all orders: those of other states make the target, those of state F the source."""
     s = Session(spark)
     s.register_table("orders", spark.read.parquet(f"{sf_dir}/orders.parquet"))
     return s.sql(
         """
-        CREATE TABLE tgt AS SELECT o_custkey AS k, COUNT(*) AS n FROM orders WHERE o_custkey < 200 GROUP BY o_custkey;
-        MERGE tgt T USING (SELECT o_custkey AS k, COUNT(*) AS n FROM orders WHERE o_custkey BETWEEN 100 AND 400 GROUP BY o_custkey) S ON T.k = S.k
-        WHEN MATCHED AND S.n > 12 THEN DELETE
+        CREATE TABLE tgt AS SELECT o_custkey AS k, COUNT(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey;
+        MERGE tgt T USING (SELECT o_custkey AS k, COUNT(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) S ON T.k = S.k
+        WHEN MATCHED AND S.n > 6 THEN DELETE
         WHEN MATCHED THEN UPDATE SET n = T.n + S.n
         WHEN NOT MATCHED BY TARGET THEN INSERT (k, n) VALUES (k, -n)
-        WHEN NOT MATCHED BY SOURCE AND T.k < 50 THEN DELETE;
+        WHEN NOT MATCHED BY SOURCE AND MOD(T.k, 2) = 0 THEN DELETE;
         SELECT k, n FROM tgt
         """
     )
@@ -213,33 +215,10 @@ SELECT g.d::TIMESTAMP AS d, g.event_type, last_value(daily.n IGNORE NULLS) OVER
 i AS (SELECT *, sum(CASE WHEN p IS NULL OR s > p THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM m) SELECT user_id, min(s) AS s, max(e) AS e FROM i GROUP BY user_id, sid""",
     "as_of_join": """WITH p AS (SELECT user_id, ts AS rts, max(event_id) AS last FROM events WHERE event_id % 2 = 1 GROUP BY 1, 2) SELECT e.event_id, p.last FROM (SELECT * FROM events WHERE event_id % 2 = 0) e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts >= p.rts""",
     "range_join": "SELECT band, count(*) AS n FROM part JOIN (SELECT i AS band, i * 10 AS lo, i * 10 + 15 AS hi FROM range(5) t(i)) b ON p_size >= lo AND p_size < hi GROUP BY band",
-    "merge": """WITH t AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_custkey < 200 GROUP BY 1), s AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_custkey BETWEEN 100 AND 400 GROUP BY 1)
-SELECT coalesce(t.k, s.k) AS k, CASE WHEN t.k IS NULL THEN -s.n WHEN s.k IS NULL THEN t.n ELSE t.n + s.n END AS n FROM t FULL JOIN s ON t.k = s.k WHERE NOT (t.k IS NOT NULL AND s.k IS NOT NULL AND s.n > 12) AND NOT (s.k IS NULL AND t.k < 50)""",
+    "merge": """WITH t AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1), s AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT coalesce(t.k, s.k) AS k, CASE WHEN t.k IS NULL THEN -s.n WHEN s.k IS NULL THEN t.n ELSE t.n + s.n END AS n FROM t FULL JOIN s ON t.k = s.k WHERE NOT (t.k IS NOT NULL AND s.k IS NOT NULL AND s.n > 6) AND NOT (s.k IS NULL AND t.k % 2 = 0)""",
     "property_graph": "SELECT n_name AS land, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_totalprice > 100000 GROUP BY 1",
 }
 
-
-def merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MERGE over all orders: those of other states make the target, those of state F the source."""
-    s = Session(spark)
-    s.register_table("orders", spark.read.parquet(f"{sf_dir}/orders.parquet"))
-    return s.sql(
-        """
-        CREATE TABLE tgt AS SELECT o_custkey AS k, COUNT(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey;
-        MERGE tgt T USING (SELECT o_custkey AS k, COUNT(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) S ON T.k = S.k
-        WHEN MATCHED AND S.n > 6 THEN DELETE
-        WHEN MATCHED THEN UPDATE SET n = T.n + S.n
-        WHEN NOT MATCHED BY TARGET THEN INSERT (k, n) VALUES (k, -n)
-        WHEN NOT MATCHED BY SOURCE AND MOD(T.k, 2) = 0 THEN DELETE;
-        SELECT k, n FROM tgt
-        """
-    )
-
-
-#: text_tokens and merge read heads of texts and ranges of keys, as their SQL says; these read all.
-QUERIES |= {"text_tokens_whole": _runner("SELECT doc_id, ARRAY_LENGTH(TEXT_ANALYZE(text)) AS n, ARRAY_LENGTH(BAG_OF_WORDS(TEXT_ANALYZE(text))) AS d FROM documents"), "merge_whole": merge_whole}
-ORACLE_SQL |= {
-    "text_tokens_whole": "SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS n, len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS d FROM documents",
-    "merge_whole": """WITH t AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1), s AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
-SELECT coalesce(t.k, s.k) AS k, CASE WHEN t.k IS NULL THEN -s.n WHEN s.k IS NULL THEN t.n ELSE t.n + s.n END AS n FROM t FULL JOIN s ON t.k = s.k WHERE NOT (t.k IS NOT NULL AND s.k IS NOT NULL AND s.n > 6) AND NOT (s.k IS NULL AND t.k % 2 = 0)""",
-}
+QUERIES |= {name: _runner(text) for name, (text, _) in function_suite.SQL.items()} | function_suite.RUN
+ORACLE_SQL |= {name: oracle or text for name, (text, oracle) in function_suite.SQL.items()} | function_suite.RUN_ORACLE

@@ -186,9 +186,14 @@ class Session:
         return self.spark.sql(f"SELECT {text} AS x").first()[0]
 
     def next_in_sequence(self, e: n.Call) -> int:
-        name = ".".join(e.args[0].args[0].path if isinstance(e.args[0], n.Call) else e.args[0].path).lower()
-        self.sequences[name] = self.sequences.get(name, 0) + 1
-        return self.sequences[name]
+        """The first value of a statement; each row adds its number, and the next statement starts beyond all of these."""
+        name = ".".join(e.args[0].path).lower()
+        first = self.sequences.get(name, 0) + 1
+        self.sequences[name] = first + (1 << 52)
+        return first
+
+    def sequence_state(self, e: n.Call) -> int:
+        return self.sequences.get(".".join(e.args[0].path).lower(), 0)
 
     # statements
 
