@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 #: Shapes of the published baseline, then further operators.
-HEADLINE = "pricing_summary shipping_priority local_supplier forecast_revenue promo_revenue window_ranks window_navigation window_frames session_funnel json_pipeline unnest_correlated array_agg qualify_top_per_group rollup pivot as_of_join range_sessionize gap_fill merge property_graph".split()
+HEADLINE = "pricing_summary shipping_priority local_supplier forecast_revenue promo_revenue window_ranks window_navigation window_frames session_funnel json_pipeline unnest_correlated array_agg_events information_schema_columns wildcard_scan qualify_top_per_group rollup pivot as_of_join range_sessionize gap_fill merge property_graph".split()
 
 
 def main() -> None:

@@ -153,9 +153,10 @@ GEOGRAPHY["S2_CELLIDFROMPOINT"] = ("lk_st_s2cell({0})", "lk_st_s2cell({0}, {1})"
 #: Aggregates over points: centroid and extent.
 GEOGRAPHY["ST_CENTROID_AGG"] = "lk_st_geogpoint(avg(lk_st_x(lk_st_centroid({0}))), avg(lk_st_y(lk_st_centroid({0}))))"
 GEOGRAPHY["ST_EXTENT"] = "named_struct('xmin', min(lk_st_boundingbox({0}).xmin), 'ymin', min(lk_st_boundingbox({0}).ymin), 'xmax', max(lk_st_boundingbox({0}).xmax), 'ymax', max(lk_st_boundingbox({0}).ymax))"
-STUBS = {
-    "AI.CLASSIFY": ("element_at({1}, 1)", "element_at({1}, 1)"), "AI.SCORE": "0D", "OBJ.FETCH_METADATA": "{0}", "OBJ.GET_READ_URL": "concat('https://storage.invalid/', ({0}).uri)", "OBJ.GET_ACCESS_URL": ("parse_json(to_json(named_struct('objectref', {0}, 'access_urls', named_struct('read_url', concat('https://storage.invalid/', ({0}).uri)))))", "if({1} IS NULL, NULL, parse_json(to_json(named_struct('objectref', {0}, 'access_urls', named_struct('read_url', concat('https://storage.invalid/', ({0}).uri))))))"),
-    "SNIPPET": "to_json(named_struct('snippets', array(named_struct('snippet', {0}))))",
+#: Functions that ask a service: they exist once the session has a function registered under their name.
+SERVICES = frozenset("AI.CLASSIFY AI.IF AI.SCORE AI.GENERATE ML.PREDICT OBJ.FETCH_METADATA OBJ.GET_READ_URL OBJ.GET_ACCESS_URL EXTERNAL_QUERY ST_REGIONSTATS".split())
+SNIPPET = {
+    "SNIPPET": "to_json(named_struct('snippets', if(contains(lower({0}), lower({1})), array(named_struct('snippet', substring({0}, greatest(instr(lower({0}), lower({1})) - 40, 1), 80 + length({1})))), array())))",
 }
 
 SEARCH = {
@@ -164,7 +165,7 @@ SEARCH = {
 }
 SEARCH["SCORE"] = SEARCH["SCORE"].replace("{{", "{").replace("}}", "}")
 
-SCALARS = MATH | STRING | ARRAY | HASH | CONDITIONAL | DATES | JSON | NET | RANGES | GEOGRAPHY | KEYSETS | SEARCH | STUBS
+SCALARS = MATH | STRING | ARRAY | HASH | CONDITIONAL | DATES | JSON | NET | RANGES | GEOGRAPHY | KEYSETS | SEARCH | SNIPPET
 
 #: SAFE.f(...) where f can raise.
 SAFE = {

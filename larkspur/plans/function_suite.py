@@ -136,6 +136,10 @@ ARRAYS: dict[str, tuple[str, str | None]] = {
         "SELECT vec_id, ROUND(ARRAY_AVG(embedding), 5) AS a, ROUND(ARRAY_MAX(embedding), 6) AS b, ROUND(ARRAY_MIN(embedding), 6) AS c, ARRAY_IS_DISTINCT(embedding) AS d, ROUND(ARRAY_FIRST(embedding), 6) AS e, ROUND(ARRAY_LAST(embedding), 6) AS f, ARRAY_LENGTH(ARRAY_CONCAT(embedding, embedding)) AS g FROM embeddings",
         "SELECT vec_id, round(list_avg(e), 5) AS a, round(list_max(e), 6) AS b, round(list_min(e), 6) AS c, len(list_distinct(e)) = len(e) AS d, round(e[1], 6) AS e, round(e[-1], 6) AS f, 2 * len(e) AS g FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)",
     ),
+    "unnest_together": (
+        "SELECT p_partkey, a, b FROM part, UNNEST([p_size, 1] AS a, [10, 20, 30] AS b)",
+        "SELECT p_partkey, unnest([p_size, 1, NULL]) AS a, unnest([10, 20, 30]) AS b FROM part",
+    ),
     "array_tests": (
         "SELECT p_partkey, ARRAY_INCLUDES([p_size, 3], 3) AS a, ARRAY_INCLUDES([p_size, 3], x -> x > 40) AS b, ARRAY_INCLUDES_ALL([p_size, 3, 4], [3, 4]) AS c, ARRAY_INCLUDES_ANY([p_size, 7], [1, 2, 3]) AS d, ARRAY_TO_STRING(ARRAY(SELECT CAST(x AS STRING) FROM UNNEST(FLATTEN([[p_size], [1, 2]])) AS x WITH OFFSET AS o ORDER BY o), ',') AS e, ARRAY_LENGTH(ARRAY_SLICE([p_size, 1, 2, 3], 1, 2)) AS f, [p_size, 9][ORDINAL(2)] AS g, [p_size, 9][SAFE_OFFSET(5)] AS h, [p_size, 9][SAFE_ORDINAL(1)] AS i, [p_size, 9][0] AS j FROM part",
         "SELECT p_partkey, true AS a, p_size > 40 AS b, true AS c, p_size IN (1, 2, 3) AS d, p_size || ',1,2' AS e, 2 AS f, 9 AS g, NULL::INT AS h, p_size AS i, p_size AS j FROM part",
@@ -364,6 +368,28 @@ SCRIPTS: dict[str, tuple[str, str]] = {
         "SELECT o_orderstatus, n, ROUND(s) AS s, ROUND(a, 2) AS a, ROUND(v) AS v, ROUND(d, 2) AS d FROM (SELECT WITH ANONYMIZATION OPTIONS (epsilon = 1e15, delta = 1e-5) o_orderstatus, ANON_COUNT(*) AS n, ANON_SUM(o_orderkey CLAMPED BETWEEN 0 AND 100000000) AS s, ANON_AVG(o_orderkey CLAMPED BETWEEN 0 AND 100000000) AS a, ANON_VAR_POP(o_orderkey CLAMPED BETWEEN 0 AND 1000) AS v, ANON_STDDEV_POP(o_orderkey CLAMPED BETWEEN 0 AND 1000) AS d FROM orders GROUP BY o_orderstatus)",
         "SELECT o_orderstatus, count(*) AS n, sum(o_orderkey)::DOUBLE AS s, round(avg(o_orderkey), 2) AS a, round(var_pop(least(o_orderkey, 1000))) AS v, round(stddev_pop(least(o_orderkey, 1000)), 2) AS d FROM orders GROUP BY 1",
     ),
+    "vector_search_sql": (
+        "CREATE TABLE q AS SELECT vec_id, embedding FROM embeddings WHERE MOD(vec_id, 100) = 7; SELECT query.vec_id AS q, COUNT(*) AS n, ROUND(MIN(distance), 4) AS nearest, ROUND(MAX(distance), 4) AS farthest FROM VECTOR_SEARCH(TABLE embeddings, 'embedding', TABLE q, top_k => 5, distance_type => 'EUCLIDEAN') GROUP BY q",
+        "WITH d AS (SELECT q.vec_id AS q, list_distance(q.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings q, embeddings b WHERE q.vec_id % 100 = 7), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d) AS r FROM d) SELECT q, count(*) AS n, round(min(d), 4) AS nearest, round(max(d), 4) AS farthest FROM r WHERE r <= 5 GROUP BY q",
+    ),
+    "tf_idf_sql": (
+        "SELECT item_id, w.term AS term, ROUND(w.tf_idf, 8) AS tf_idf FROM (SELECT item_id, TF_IDF(TEXT_ANALYZE(text)) OVER () AS ws FROM benchmark) AS x, UNNEST(x.ws) AS w",
+        """WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM benchmark), c AS (SELECT item_id, term, count(*) AS c FROM w GROUP BY 1, 2),
+n AS (SELECT item_id, count(*) AS n FROM w GROUP BY 1), d AS (SELECT term, count(*) AS df FROM c GROUP BY 1)
+SELECT c.item_id, c.term, round(c / n * (ln((1 + (SELECT count(*) FROM benchmark)) / (1 + df)) + 1), 8) AS tf_idf FROM c JOIN n ON c.item_id = n.item_id JOIN d ON c.term = d.term""",
+    ),
+    "change_functions": (
+        "CREATE TABLE t AS SELECT 1 AS a; SELECT n_nationkey, (SELECT COUNT(*) FROM APPENDS(TABLE t)) AS a, (SELECT COUNT(*) FROM CHANGES(TABLE t)) AS c, SNIPPET(n_name, 'nation') LIKE '%NATION%' AS s FROM nation",
+        "SELECT n_nationkey, 0 AS a, 0 AS c, true AS s FROM nation",
+    ),
+    "table_options": (
+        "CREATE SCHEMA lab; CREATE TABLE lab.t (x INT64) OPTIONS (description = 'words'); SELECT table_name, option_name FROM lab.INFORMATION_SCHEMA.TABLE_OPTIONS",
+        "SELECT 't' AS table_name, 'description' AS option_name",
+    ),
+    "object_references": (
+        "SELECT n_nationkey, OBJ.MAKE_REF(CONCAT('gs://b/', n_name), 'us.c').uri AS a, OBJ.MAKE_REF('gs://b/x', 'us.c').authorizer AS b FROM nation",
+        "SELECT n_nationkey, 'gs://b/' || n_name AS a, 'us.c' AS b FROM nation",
+    ),
     "gap_fill_sql": (
         "CREATE TABLE d AS SELECT event_type, DATETIME_TRUNC(ts, HOUR) AS h, COUNT(*) AS n FROM events GROUP BY event_type, h HAVING MOD(COUNT(*), 3) <> 0; SELECT h, event_type, n FROM GAP_FILL(TABLE d, ts_column => 'h', bucket_width => INTERVAL 1 HOUR, partitioning_columns => ['event_type'], value_columns => [('n', 'null')])",
         "WITH d AS (SELECT event_type, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) % 3 <> 0), b AS (SELECT event_type, min(h) AS lo, max(h) AS hi FROM d GROUP BY 1), g AS (SELECT event_type, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS h FROM b) SELECT g.h, g.event_type, d.n FROM g LEFT JOIN d ON d.event_type = g.event_type AND d.h = g.h",
@@ -374,6 +400,42 @@ SCRIPTS: dict[str, tuple[str, str]] = {
     ),
 }
 
+def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named and positional parameters, arrays among them."""
+    s = Session(spark)
+    s.register_table("orders", spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    s.sql("CREATE TABLE few AS SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_totalprice > @p AND o_orderstatus IN UNNEST(@st)", named={"p": 100000, "st": ["F", "O"]})
+    return s.sql("SELECT o_orderkey, o_totalprice + ? AS t, ? AS note FROM few", args=[1.5, "it's"])
+
+
+def python_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registered Python function, also as the service behind a function that asks one."""
+    s = Session(spark)
+    s.register_table("nation", spark.read.parquet(f"{sf_dir}/nation.parquet"))
+    s.register_function("twice", lambda x: x * 2, "INT64")
+    s.register_function("AI.SCORE", lambda x: float(len(x)), "FLOAT64")
+    return s.sql("SELECT n_name, twice(n_nationkey) AS t, AI.SCORE(n_name) AS s FROM nation")
+
+
+def _streamed(text: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The events as a stream that ends, through files of the warehouse."""
+        from ..streaming import windows
+
+        s = Session(spark)
+        events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("CAST(ts AS TIMESTAMP) AS ts", "user_id", "event_type")
+        events.write.parquet(f"{s.root}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{s.root}/in")
+        found = windows.bucket_counts(stream, "ts", "6 hours", "event_type") if text == "buckets" else windows.sessions(stream, "ts", "30 minutes", "user_id")
+        name = f"streamed_{text}_{s.id}"
+        q = found.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{s.root}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
+        moments = [f"to_timestamp_ntz(CAST({c} AS STRING)) AS {c}" if c in ("bucket", "start", "end") else c for c in found.columns]
+        return spark.table(name).selectExpr(*[m.replace("(end", "(`end`").replace("CAST(end", "CAST(`end`").replace("AS end", "AS `end`") for m in moments])
+
+    return run
+
+
 SQL = DATES | STRINGS | MATH | ARRAYS | JSON | NETWORK | RANGES | AGGREGATES | TOKENS | GEOGRAPHY
 
 
@@ -381,7 +443,8 @@ def _script(text: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = Session(spark)
         for t in TABLES:
-            s.register_table(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+            if t in text:
+                s.register_table(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
         return s.sql(text.replace("{folder}", f"{s.root}/exports"))
 
     return run
@@ -389,3 +452,11 @@ def _script(text: str):
 
 RUN = {name: _script(text) for name, (text, _) in SCRIPTS.items()}
 RUN_ORACLE = {name: oracle for name, (_, oracle) in SCRIPTS.items()}
+RUN |= {"parameters": parameters, "python_function": python_function, "streaming_buckets": _streamed("buckets"), "streaming_sessions": _streamed("sessions")}
+RUN_ORACLE |= {
+    "parameters": "SELECT o_orderkey, o_totalprice + 1.5::DOUBLE AS t, 'it''s' AS note FROM orders WHERE o_totalprice > 100000 AND o_orderstatus IN ('F', 'O')",
+    "python_function": "SELECT n_name, n_nationkey * 2 AS t, length(n_name)::DOUBLE AS s FROM nation",
+    "streaming_buckets": "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS bucket, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "streaming_sessions": """WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events),
+i AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid FROM m) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM i GROUP BY user_id, sid""",
+}
