@@ -177,6 +177,21 @@ def test_keep_one_finds_copies_at_a_similarity_of_four_fifths(spark):
     assert simhash.keep_one(frame(spark, [])).count() == 0
 
 
+def test_keep_one_in_a_group_whose_members_are_less_alike_than_their_centre(spark):
+    r = random.Random(8)
+    base = [f"c{i}" for i in range(150)]
+    rows = [(0, " ".join(base), "en", "s", 1, 1)]
+    for i in range(1, 120):
+        copy = list(base)
+        for at in r.sample(range(150), r.choice([1, 2, 4, 6, 9])):
+            copy[at] = r.choice([f"new{r.randrange(10**6)}", f"twin{at}"])
+        rows.append((i, " ".join(copy[: r.choice([150, 150, 140, 125])]), "en", "s", 1, 1))
+    rows += [(500 + i, " ".join(base[:60] + [f"z{i}x{k}" for k in range(r.choice([10, 60]))]), "en", "s", 1, 1) for i in range(30)]
+    kept = sorted(d for d, c in plain_similar(rows, 0.8).items() if d == c)
+    assert 5 < len(kept) < 140
+    assert rows_of(simhash.keep_one(frame(spark, rows)), "doc_id") == [(d,) for d in kept]
+
+
 def test_keep_one_loses_no_row_by_its_id(spark):
     copy, other = "one two three four five six seven", "a clean text of quite other words"
     rows = [(None, "no id but its own words here", "en", "s", 1, 1), (None, copy, "en", "s", 1, 1), (3, copy, "en", "s", 1, 1), (3, other, "en", "s", 1, 1)]
