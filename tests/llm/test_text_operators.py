@@ -192,6 +192,18 @@ def test_keep_one_in_a_group_whose_members_are_less_alike_than_their_centre(spar
     assert rows_of(simhash.keep_one(frame(spark, rows)), "doc_id") == [(d,) for d in kept]
 
 
+def test_sketches_differ_in_no_more_bits_than_their_sets():
+    from larkspur.llm.near_copies import SKETCH, sketch
+
+    r = np.random.default_rng(4)
+    for n in (0, 1, 60, 400, 3 * SKETCH):
+        one = np.unique(r.integers(0, 1 << 64, n, np.uint64))
+        for m in (0, 1, 40, 900):
+            other = np.unique(np.concatenate((one[: max(0, len(one) - m // 2)], r.integers(0, 1 << 64, m, np.uint64))))
+            bits = int(np.bitwise_count((sketch(one) ^ sketch(other)).view(np.uint64)).sum())
+            assert bits <= len(np.setxor1d(one, other)) and len(sketch(one)) == SKETCH // 64
+
+
 def test_keep_one_loses_no_row_by_its_id(spark):
     copy, other = "one two three four five six seven", "a clean text of quite other words"
     rows = [(None, "no id but its own words here", "en", "s", 1, 1), (None, copy, "en", "s", 1, 1), (3, copy, "en", "s", 1, 1), (3, other, "en", "s", 1, 1)]
