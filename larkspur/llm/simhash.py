@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -12,12 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, shared_dir, text_slices
-from .near_copies import classes
 
 SEED = 42
 PIECE = 1 << 15  # shingles whose bits are counted at once
 
 
+def fold(pieces: Iterable[np.ndarray]) -> int:
+    """64-bit SimHash of hashes, given piece by piece: a bit is 1 if set in over half of them.  0 without a hash."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in pieces:
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
+    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: bytes, shingle: int) -> int:
     """64-bit SimHash over XXH64 of word shingles, repeats included; A-Z are lower-cased.  0 without a word."""
     words = text.lower().split()
@@ -28,11 +36,8 @@ def fingerprint(text: bytes, shingle: int) -> int:
     start = np.concatenate(([0], np.cumsum(size)))
     k = min(shingle, len(words))
     first, last = start[: len(words) - k + 1].tolist(), (start[k:] - 1).tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for at in range(0, len(first), PIECE):
-        h = np.array([digest(line[a:b], SEED) for a, b in zip(first[at : at + PIECE], last[at : at + PIECE])], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(first), bitorder="little").tobytes(), "little")
+    digest = xxhash.xxh64_intdigest
+    return fold(np.array([digest(line[a:b], SEED) for a, b in zip(first[at : at + PIECE], last[at : at + PIECE])], np.uint64) for at in range(0, len(first), PIECE))
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,6 +103,8 @@ def keep_one(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_c
     Each row counts by itself, whether its id is null or repeated.  The row of
     the smallest id stays, null ids last; of those that share it, any one row.
     """
+    from .near_copies import classes  # which takes its fingerprints and their links from here
+
     given, (id_col, text_col) = docs.columns, (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "keep-one")
     docs.toDF(*[f"c{i}" for i in range(len(given))]).withColumn("row", F.monotonically_increasing_id()).write.parquet(path)

@@ -192,6 +192,23 @@ def test_keep_one_in_a_group_whose_members_are_less_alike_than_their_centre(spar
     assert rows_of(simhash.keep_one(frame(spark, rows)), "doc_id") == [(d,) for d in kept]
 
 
+def test_keep_one_finds_the_closest_copies_by_simhash(spark, monkeypatch):
+    from larkspur.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "bands", lambda own: np.zeros(0, np.int64))  # fingerprints alone name candidates
+    r = random.Random(6)
+    rows = []
+    for i in range(30):
+        text = [f"w{r.randrange(50000)}" for _ in range(400)]
+        copy = list(text)
+        copy[r.randrange(10, 390)] = "new"
+        rows += [(2 * i, " ".join(text), "en", "s", 1, 1), (2 * i + 1, " ".join(copy), "en", "s", 1, 1)]
+    fps = {x[0]: plain_fingerprint(x[1], 5) for x in rows}
+    kept = [d for d, c in plain_classes(fps, 3).items() if d == c]
+    assert 30 <= len(kept) < 45
+    assert rows_of(simhash.keep_one(frame(spark, rows)), "doc_id") == [(d,) for d in kept]
+
+
 def test_sketches_differ_in_no_more_bits_than_their_sets():
     from larkspur.llm.near_copies import SKETCH, sketch
 
