@@ -7,9 +7,11 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,14 +103,15 @@ class Codec:
     """
 
     def __init__(self, data: bytes):
-        os.environ.setdefault("RAYON_NUM_THREADS", "2")  # of the library's thread pool in each worker: executors run several
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # executors run several workers: a pool of threads in each costs more than it gains
         from tokenizers import Tokenizer, models, normalizers
 
         self.model = m = Model(data)
         self.data = data
         if m.kind == BPE:
             vocab = {p: i for i, (p, _, _) in enumerate(m.pieces)}
-            core = models.BPE(vocab=vocab, merges=m.merges(), unk_token=m.pieces[m.unk][0], fuse_unk=True, byte_fallback=m.byte_fallback)
+            # distinct words are encoded once each, so a cache of words would be looked at in vain
+            core = models.BPE(cache_capacity=0, vocab=vocab, merges=m.merges(), unk_token=m.pieces[m.unk][0], fuse_unk=True, byte_fallback=m.byte_fallback)
         else:
             core = models.Unigram([(p, s) for p, s, _ in m.pieces], m.unk, m.byte_fallback)
         self.tokenizer = Tokenizer(core)
@@ -118,6 +121,7 @@ class Codec:
         self.bytes = [
             bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t in (CONTROL,) else " ⁇ ".encode() if t == UNKNOWN else p.replace(MARK, " ").encode() for p, _, t in m.pieces
         ]
+        self.spelt = pa.array(self.bytes, pa.large_binary())
 
     def normalise(self, text: str) -> str:
         """Charsmap, spaces squeezed, prefix, and the space mark for spaces."""
@@ -129,33 +133,46 @@ class Codec:
             return ""
         return (MARK if self.model.prefix else "") + text.replace(" ", MARK)
 
-    def segments(self, text: str) -> list[str]:
+    def segments(self, plain: list[str]) -> pa.LargeListArray:
+        """Parts of each normalised text that are encoded apart: marks and the characters up to the next mark.  An empty text has none."""
         if not self.by_word:
-            return [text] if text else []
-        parts = text.split(MARK)
-        if "" not in parts[1:]:
-            return [MARK + p for p in parts[1:]] if not parts[0] else [parts[0], *(MARK + p for p in parts[1:])]
-        return re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", text)
+            return pa.array([[t] if t else [] for t in plain], pa.large_list(pa.large_string()))
+        end = next(c for c in map(chr, range(0xD800)) if c != MARK and not any(c in t for t in plain))
+        parted = []
+        for t in plain:
+            t = t.replace(MARK, end + MARK)
+            while MARK + end + MARK in t:
+                t = t.replace(MARK + end + MARK, MARK + MARK)
+            parted.append(t.removeprefix(end) or None)
+        lists = pc.split_pattern(pa.array(parted, pa.large_string()), end)
+        return pa.LargeListArray.from_arrays(pa.array(np.asarray(lists.offsets, np.int64)), lists.values)
+
+    def spell(self, ids: np.ndarray, ends: np.ndarray, words: list[str]) -> list[bool]:
+        """Whether the ids between two consecutive ends decode to the word."""
+        own = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), self.spelt.take(pa.array(ids))), pa.scalar(b"", pa.large_binary()))
+        plain = pc.replace_substring(pa.array(words, pa.large_string()), MARK, " ")
+        same = pc.equal(own, plain.cast(pa.large_binary())).to_pylist()
+        return [x or a.as_py().decode("utf-8", "replace") == b.as_py() for x, a, b in zip(same, own, plain)] if not all(same) else same
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids in a row, each text's offset in them (one more at the end), and whether the ids spell the normalised text."""
-        plain = [self.normalise(t) for t in texts]
-        cut = [self.segments(t) for t in plain]
-        flat = pa.array([s for x in cut for s in x], pa.large_string()).dictionary_encode()
+        cut = self.segments([self.normalise(t) for t in texts])
+        flat = cut.flatten().dictionary_encode()
         distinct, code = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False)
-        piece, pools, sizes, oks = self.bytes, [np.zeros(0, np.int32)], [], []
+        pools, sizes, oks = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], []
         for a in range(0, len(distinct), CHUNK):  # the library's results are large: they are reduced to ids chunk by chunk
             some = distinct[a : a + CHUNK]
             coded = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            sizes += map(len, coded)
-            pools.append(np.fromiter((i for x in coded for i in x), np.int32))
-            oks += [b"".join([piece[i] for i in ids]).decode("utf-8", "replace") == s.replace(MARK, " ") for ids, s in zip(coded, some)]
-        size, good, pool = np.array(sizes, np.int64), np.array(oks, bool), np.concatenate(pools)
+            sizes.append(np.fromiter(map(len, coded), np.int64, len(coded)))
+            ends = np.concatenate(([0], np.cumsum(sizes[-1])))
+            pools.append(np.fromiter(chain.from_iterable(coded), np.int32, ends[-1]))
+            oks += self.spell(pools[-1], ends, some)
+        size, good, pool = np.concatenate(sizes), np.array(oks, bool), np.concatenate(pools)
         first = np.concatenate(([0], np.cumsum(size)))
         n = size[code]
         ends = np.concatenate(([0], np.cumsum(n)))
         ids = pool[np.repeat(first[code] - ends[:-1], n) + np.arange(ends[-1])] if len(code) else pool
-        words = np.concatenate(([0], np.cumsum([len(x) for x in cut])))
+        words = np.concatenate(([0], np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))))
         bad = np.concatenate(([0], np.cumsum(~good[code]))) if len(code) else np.zeros(1, np.int64)
         return ids, ends[words], np.diff(bad[words]) == 0
 

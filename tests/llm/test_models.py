@@ -152,6 +152,17 @@ def test_extraction_of_edge_pages(spark):
 # tokens
 
 
+def test_segments_of_a_batch_equal_those_of_a_pattern():
+    import re
+
+    codec, m = sp.Codec(model_bytes()), sp.MARK
+    plain = ["", m, m * 7, f"a{m}b", f"{m}a{m}{m}{m}b{m}c{m}{m}", f"\0{m}\0a\1", "x", f"{m}ä\n{m}🙂{m}"]
+    assert codec.segments(plain).to_pylist() == [re.findall(f"{m}*[^{m}]+|{m}+", t) for t in plain]
+    ids, at, good = codec.encode([t.replace(m, " ") for t in plain])
+    assert len(at) == len(plain) + 1 and good.all()
+    assert not codec.spell(ids[at[3] : at[4]], np.array([0, at[4] - at[3]]), ["other"])[0]
+
+
 def test_codec_equals_the_original(spark):
     codec = sp.Codec(model_bytes())
     assert codec.by_word
