@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,9 @@ KINDS = ("email", "ip", "card", "phone", "term")
 TERM = KINDS.index("term")
 GENERAL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
+#: Terms whose counts a task holds at most, but for those of its last slice.
+COUNTED = 1 << 17
+
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
@@ -148,9 +152,11 @@ def _marks(bits):
 
 
 def _frequencies(bits):
-    """(term, n): documents of a slice that hold a term which may be a candidate."""
+    """(term, n): documents of a task that hold a term which may be a candidate; a term has a row for each COUNTED terms that the task meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: Counter[str] = Counter()
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())], ["t", "n"])
         for batch in text_slices(batches):
             words, offsets = split_words(batch.column("text"))
             enc = words.dictionary_encode()
@@ -162,7 +168,11 @@ def _frequencies(bits):
             own = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             pairs = np.unique(own[code >= 0] * max(len(names), 1) + code[code >= 0])
             counts = np.bincount(pairs % max(len(names), 1), minlength=len(names))
-            yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()), pa.array(counts[: len(names)].astype(np.int64))], ["t", "n"])
+            counted.update(dict(zip(names, counts.tolist())))
+            if len(counted) >= COUNTED:
+                yield told()
+                counted.clear()
+        yield told()
 
     return run
 

@@ -209,6 +209,24 @@ def test_keep_one_finds_the_closest_copies_by_simhash(spark, monkeypatch):
     assert rows_of(simhash.keep_one(frame(spark, rows)), "doc_id") == [(d,) for d in kept]
 
 
+def test_frequencies_have_a_row_for_each_term_of_a_task(monkeypatch):
+    import types
+
+    import pyarrow as pa
+
+    texts = [f"often name{i % 7} name{i % 7} (Often) w{i}" for i in range(300)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 10], pa.string())], ["text"]) for i in range(0, 300, 10)]
+    every = types.SimpleNamespace(value=np.full(1 << 10, -1, np.int64).view(np.uint64))
+    want = Counter(w for t in texts for w in set(t.lower().replace("(", "").replace(")", "").split()))
+    for most, rows in ((1 << 17, len(want)), (20, 30 * 18)):
+        monkeypatch.setattr(pii, "COUNTED", most)
+        got = [(r["t"], r["n"]) for b in pii._frequencies(every)(iter(batches)) for r in b.to_pylist()]
+        total = Counter()
+        for t, n in got:
+            total[t] += n
+        assert total == want and len(got) <= rows
+
+
 def test_sketches_differ_in_no_more_bits_than_their_sets():
     from larkspur.llm.near_copies import SKETCH, sketch
 
