@@ -14,6 +14,8 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 from .common import column, cut, seg_sum, split_words, text_slices, word_hashes
 from .substring_dedup import _inside, base_windows
 
+#: Bytes of text that a task measures at once; results do not depend on it.
+SLICE = 1 << 20
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("upper", "lower", "other letter", "digit", "end mark", "inner mark", "symbol", "rest")
 
@@ -152,7 +154,7 @@ def fit_references(docs: DataFrame, *, common_words: int = 40, rare: int = 2000,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str | None, np.ndarray] = {}
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SLICE):
             langs = _langs(batch)
             for one in set(langs):
                 texts = batch.column("text").filter(pa.array(_of(langs, one)))
@@ -230,7 +232,7 @@ def quality_rules(
         return [*((k, v.astype(np.int64)) for k, v in n.items()), ("base_failed", failed), ("kept", ~failed & ~bad), ("char_distance", far), ("word_distance", off)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SLICE):
             found = judged(batch.column("text"), _langs(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v) for _, v in found)], ["doc_id", *(k for k, _ in found)])
 
@@ -238,7 +240,7 @@ def quality_rules(
         return plain.mapInArrow(run, SCHEMA)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, limit=SLICE):
             kept = dict(judged(batch.column("text"), _langs(batch)))["kept"]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept), batch.column("text").cast(pa.string()), batch.column("blank")], ["row", "kept", "text", "blank"])
 

@@ -22,7 +22,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 CHUNK = 4096  # distinct words that are encoded at once
-SLICE = 1 << 20  # bytes of text that a task encodes at once
+SLICE = 1 << 19  # bytes of text that a task encodes at once
 #: Texts that every rebuilt model must encode as the original does.
 PROBES = ("", " ", "a", "Hello world", "  two  spaces   here ", "line\nbreak\t tab", "naïve café – 東京 🙂", "<s> </s> <unk> <0x0A>", "1234567890 $%&", "x" * 300)
 
